@@ -1 +1 @@
-
+ORACLES = {}
