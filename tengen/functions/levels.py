@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dates import as_date
@@ -118,43 +118,51 @@ def is_open_group(group_name) -> Column:
     return F.contains(text(group_name), F.lit("公开"))
 
 
-def group_level(group_name, model: Model = GRAPH) -> Column:
-    """L of a skill group, null when the name carries no level."""
-    g = trim_ws(group_name)
+def with_group_level(df: DataFrame, out: str = "group_l", model: Model = GRAPH) -> DataFrame:
+    """L of a skill group from group_name, null when the name carries no level.
+
+    Parts are computed once as columns; one nested expression would repeat each
+    regex for every branch that looks at it.
+    """
     band = rf"(\d+){WS}*[~\-－—至到]{WS}*(\d+){WS}*级"
-    kyu = _number(g, rf"(\d+){WS}*级")
-    dan = _number(g, rf"(\d+){WS}*段")
-    return (
+    g = F.col("_g")
+    level = (
         F.when(g.rlike(NOT_RATED), F.lit(None).cast("double"))
         .when(F.contains(g, F.lit("定段")), F.lit(FIXED_DAN_L))
-        .when(g.rlike(band), ((26 - _number(g, band, 1)) + (26 - _number(g, band, 2))) / 2)
-        .when(kyu.between(1, 25), 26 - kyu)
-        .when(dan.between(1, 8), 25 + dan)
+        .when(F.col("_low").isNotNull(), ((26 - F.col("_low")) + (26 - F.col("_high"))) / 2)
+        .when(F.col("_kyu").between(1, 25), 26 - F.col("_kyu"))
+        .when(F.col("_dan").between(1, 8), 25 + F.col("_dan"))
         .when(F.contains(g, F.lit("低段")), F.lit(LOW_DAN_L))
         .when(F.contains(g, F.lit("高段")), F.lit(HIGH_DAN_L))
         .when(is_open_group(g), F.lit(model.open_l))
     )
+    return df.withColumn("_g", trim_ws("group_name")).withColumns({
+        "_low": _number(g, band, 1), "_high": _number(g, band, 2),
+        "_kyu": _number(g, rf"(\d+){WS}*级"), "_dan": _number(g, rf"(\d+){WS}*段")}) \
+        .withColumn(out, level).drop("_g", "_low", "_high", "_kyu", "_dan")
+
 
+def event_tier(title, organizer, model: Model = GRAPH) -> Column:
+    """Base L of age groups at an event, by its reach."""
+    return _ladder(model.tiers, event_text(title, organizer).rlike, F.lit(model.tier_default))
 
-def age_group_level(group_name, title, organizer, model: Model = GRAPH) -> Column:
-    """L of an age or school-grade group from the tier of its event."""
-    g = trim_ws(group_name)
-    about = event_text(title, organizer)
-    tier = _ladder(model.tiers, about.rlike, F.lit(model.tier_default))
 
+def with_age_group_level(df: DataFrame, out: str = "age_l", model: Model = GRAPH) -> DataFrame:
+    """L of an age or school-grade group from group_name and the event's tier (column tier)."""
+    g = F.col("_g")
     grade = _ladder([(k + "年级", v) for k, v in model.grades],
                     lambda k: F.contains(g, F.lit(k)), F.lit(0.0))
-    adj = F.when(g.rlike("初中|中学生"), F.lit(model.middle_school)) \
+    by_grade = F.when(g.rlike("初中|中学生"), F.lit(model.middle_school)) \
         .when(F.contains(g, F.lit("高年级")), F.lit(model.high_grade)) \
         .when(F.contains(g, F.lit("低年级")), F.lit(LOW_GRADE)).otherwise(grade)
     # a division letter counts only while no grade has set a value; a letter worth 0 is no value
     letter = _ladder([kv for kv in model.letters if kv[1]], g.rlike, F.lit(0.0))
-    adj = F.when(adj == 0, letter).otherwise(adj)
-
     age = F.coalesce(_number(g, r"(?i)U(\d+)"), _number(g, rf"(\d+){WS}*岁"))
-    by_age = _ladder(model.ages, lambda limit: age <= limit, F.lit(model.age_above))
-    adj = F.when(age.isNotNull(), by_age).otherwise(adj)
-    return F.when(g.rlike(model.age_gate) & ~g.rlike(AGE_NOT_RATED), tier + adj)
+    by_age = _ladder(model.ages, lambda limit: F.col("_age") <= limit, F.lit(model.age_above))
+    adj = F.when(F.col("_age").isNotNull(), by_age).when(F.col("_grade") == 0, letter).otherwise(F.col("_grade"))
+    return df.withColumn("_g", trim_ws("group_name")).withColumns({"_age": age, "_grade": by_grade}) \
+        .withColumn(out, F.when(g.rlike(model.age_gate) & ~g.rlike(AGE_NOT_RATED), F.col("tier") + adj)) \
+        .drop("_g", "_age", "_grade")
 
 
 def win_rate_adj(win, lose, draw, model: Model = GRAPH) -> Column:
@@ -187,29 +195,32 @@ def level_label(value) -> Column:
         .when(base.between(26, 33), F.concat(tier, (base - 25).cast("string"), F.lit("段")))
 
 
-def with_entry_features(df, as_of: str, model: Model = GRAPH):
-    """Add group L, base, weights and flags to entry rows (participants joined with events).
+def with_event_features(events: DataFrame, as_of: str, model: Model = GRAPH) -> DataFrame:
+    """Weights and tier of each event, worked out on the small side before any join."""
+    return events.withColumns({
+        "tier": event_tier("title", "cname", model), "time_weight": time_weight("min_time", as_of, model),
+        "event_weight": event_weight("title", "cname", model)})
+
+
+def with_entry_features(entries: DataFrame, model: Model = GRAPH) -> DataFrame:
+    """Add group L, base and flags to entries joined with event features.
 
     base is null where the entry cannot be used.
     """
-    skill, age = group_level("group_name", model), F.col("age_l")
-    df = df.withColumn("skill_l", skill) \
-        .withColumn("age_l", F.when(F.col("skill_l").isNull(),
-                                    age_group_level("group_name", "title", "cname", model))) \
-        .withColumn("group_l", F.coalesce(F.col("skill_l"), age)) \
-        .withColumn("rounds", rounds()) \
-        .withColumn("is_age_group", F.col("skill_l").isNull() & F.col("age_l").isNotNull()) \
-        .withColumn("is_open", F.col("skill_l").isNotNull() & is_open_group("group_name")) \
-        .withColumn("raw_adj", win_rate_adj("win", "lose", "draw", model))
-    adj = F.when(F.col("is_open") & (F.col("raw_adj") > 0), F.col("raw_adj") * model.open_gain) \
-        .when(F.col("is_open") & (F.col("raw_adj") < 0), F.col("raw_adj") * model.open_loss) \
-        .otherwise(F.col("raw_adj"))
+    df = with_age_group_level(with_group_level(entries, "skill_l", model), "age_l", model)
+    df = df.withColumns({
+        "group_l": F.coalesce("skill_l", "age_l"), "rounds": rounds(),
+        "is_age_group": F.col("skill_l").isNull() & F.col("age_l").isNotNull(),
+        "is_open": F.col("skill_l").isNotNull() & is_open_group("group_name"),
+        "wr_adj": win_rate_adj("win", "lose", "draw", model)})
+    adj = F.when(F.col("is_open") & (F.col("wr_adj") > 0), F.col("wr_adj") * model.open_gain) \
+        .when(F.col("is_open") & (F.col("wr_adj") < 0), F.col("wr_adj") * model.open_loss) \
+        .otherwise(F.col("wr_adj"))
     df = df.withColumn("wr_adj", adj)
     base = F.col("group_l") + F.when(F.col("is_age_group"), F.lit(0.0)) \
         .otherwise(F.lit(model.skill_offset)) + F.col("wr_adj")
+    df = df.withColumn("base", F.when((F.col("rounds") > 0) & F.col("group_l").isNotNull(), base))
     if model.open_floor is not None:
-        base = F.when(F.col("is_open"), F.greatest(base, F.lit(model.open_floor))).otherwise(base)
-    return df.withColumn("base", F.when((F.col("rounds") > 0) & F.col("group_l").isNotNull(), base)) \
-        .withColumn("time_weight", time_weight("min_time", as_of, model)) \
-        .withColumn("event_weight", event_weight("title", "cname", model)) \
-        .drop("skill_l", "age_l", "raw_adj")
+        df = df.withColumn("base", F.when(F.col("is_open") & F.col("base").isNotNull(), F.greatest(
+            "base", F.lit(model.open_floor))).otherwise(F.col("base")))
+    return df.drop("skill_l", "age_l", "tier")

@@ -1,6 +1,8 @@
 """Promotion Columns: candidate level, ladders, steps, targets, event flags, rule texts."""
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numbers import chinese_number, step_count
@@ -10,6 +12,7 @@ from .text import WS, col, event_text, strip_ws, text
 
 MIXED_A = r"\d+[段级]?[-—－~～至到]\d+[段级]"
 MIXED_B = r"\d+[段级][-—－~～至到]\d+[段级]?"
+MENTION = r"(\d*[1-9]\d*)([段级])"
 UPGRADE = r"^(\d+)级升\d+段.*组"
 FIXED = r"^定(\d+)段.*组"
 
@@ -48,36 +51,34 @@ RE_ONE = r"(?:晋升|升)(?:为)?(?:1|一)个(?:级别|段位)|(?:晋升|升)(?:
 # ---- levels -----------------------------------------------------------------
 
 
-def candidate_level(group_name) -> Column:
-    """struct(kind, current) of the group a player started in, null when unclear."""
-    g = strip_ws(group_name)
-
-    def level(kind, n):
-        return F.struct(F.lit(kind).alias("kind"), n.cast("int").alias("current"))
-
-    fixed = F.regexp_extract(g, FIXED, 1).try_cast("int")
-    upgrade = F.regexp_extract(g, UPGRADE, 1).try_cast("int")
-    mentions = F.filter(F.regexp_extract_all(g, F.lit(r"(\d+[段级])"), 1),
-                        lambda m: ~m.rlike("^0+[段级]"))
-    one = F.get(mentions, F.lit(0))
-    one_n = F.regexp_extract(one, r"\d+", 0).try_cast("int")
-    one_dan = F.contains(one, F.lit("段"))
-    lead_dan = F.regexp_extract(g, r"^(\d+)段.*组", 1).try_cast("int")
-    lead_kyu = F.regexp_extract(g, r"^(\d+)级.*组", 1).try_cast("int")
-    mixed = g.rlike(MIXED_A) | g.rlike(MIXED_B) | (F.size(mentions) > 1)
-    single = F.size(mentions) == 1
-    return (
-        F.when(~F.contains(g, F.lit("组")), F.lit(None).cast("struct<kind:string,current:int>"))
-        .when(fixed == 1, level("level", F.lit(1)))
-        .when(fixed.between(2, 6), level("dan", fixed - 1))
-        .when(upgrade.isNotNull(), level("level", upgrade))
-        .when(mixed, F.lit(None).cast("struct<kind:string,current:int>"))
-        .when(single & one_dan & one_n.between(1, 5), level("dan", one_n))
-        .when(single & ~one_dan, level("level", one_n))
-        .when(lead_dan.between(1, 5), level("dan", lead_dan))
-        .when(lead_kyu.isNotNull(), level("level", lead_kyu))
-        .when(g.rlike("一级组|定段组"), level("level", F.lit(1)))
-    )
+def with_candidate_level(df: DataFrame) -> DataFrame:
+    """Add lv, struct(kind, current) of the level a group_name starts from, null when unclear."""
+    g = F.col("_g")
+    n = {k: F.col(k) for k in ("_fixed", "_up", "_count", "_n", "_lead_dan", "_lead_kyu")}
+    single = (n["_count"] == 1)
+    mixed = g.rlike(MIXED_A) | g.rlike(MIXED_B) | (n["_count"] > 1)
+    usable = F.contains(g, F.lit("组"))
+    rule = (
+        F.when(~usable, 0).when(n["_fixed"] == 1, 1).when(n["_fixed"].between(2, 6), 2)
+        .when(n["_up"].isNotNull(), 3).when(mixed, 0)
+        .when(single & (F.col("_unit") == "段") & n["_n"].between(1, 5), 4)
+        .when(single & (F.col("_unit") == "级"), 5)
+        .when(n["_lead_dan"].between(1, 5), 6).when(n["_lead_kyu"].isNotNull(), 7)
+        .when(g.rlike("一级组|定段组"), 1).otherwise(0))
+    r = F.col("_rule")
+    current = F.when(r == 1, F.lit(1)).when(r == 2, n["_fixed"] - 1).when(r == 3, n["_up"]) \
+        .when(r.isin(4, 5), n["_n"]).when(r == 6, n["_lead_dan"]).when(r == 7, n["_lead_kyu"])
+    kind = F.when(r.isin(2, 4, 6), "dan").otherwise("level")
+
+    def number(pattern):
+        return F.regexp_extract(g, pattern, 1).try_cast("int")
+    return df.withColumn("_g", strip_ws("group_name")).withColumns({
+        "_fixed": number(FIXED), "_up": number(UPGRADE), "_count": F.regexp_count(g, F.lit(MENTION)),
+        "_n": number(MENTION), "_unit": F.regexp_extract(g, MENTION, 2),
+        "_lead_dan": number(r"^(\d+)段.*组"), "_lead_kyu": number(r"^(\d+)级.*组")}) \
+        .withColumn("_rule", rule) \
+        .withColumn("lv", F.when(r > 0, F.struct(kind.alias("kind"), current.alias("current")))) \
+        .drop("_g", "_unit", "_rule", *n)
 
 
 def level_text(kind, current) -> Column:
@@ -150,15 +151,21 @@ def is_inferable_event(province, title, organizer, city) -> Column:
 # ---- rule texts -------------------------------------------------------------
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate value once and hand it to body; keeps nested text expressions small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def notice_fragments(notice) -> Column:
     """Rule-bearing fragments of a clean notice, in order.
 
     The loose vocabulary counts only when no fragment uses the strict one.
     """
+    def choose(loose):
+        return bind(F.filter(loose, lambda f: f.rlike(STRICT_WORDS)),
+                    lambda strict: F.when(F.size(strict) > 0, strict).otherwise(loose))
     parts = F.split(strip_ws(notice), "[。；;]")
-    loose = F.filter(parts, lambda f: f.rlike(LOOSE_WORDS))
-    strict = F.filter(loose, lambda f: f.rlike(STRICT_WORDS))
-    return F.when(F.size(strict) > 0, strict).otherwise(loose)
+    return bind(F.filter(parts, lambda f: f.rlike(LOOSE_WORDS)), choose)
 
 
 def group_labels(group_name, kind, current) -> Column:
@@ -182,15 +189,19 @@ def narrow_fragment(fragment, labels) -> Column:
         F.transform(col(labels), lambda x: F.struct(
             F.position(x, f).alias("at"), (-F.length(x)).alias("neg_len"), x.alias("label"))),
         lambda s: s["at"] > 0)
-    first = F.array_min(found)
-    tail = F.substring(f, first["at"] + F.length(first["label"]), F.length(f))
-    parts = F.split(F.regexp_replace(tail, NEXT_GROUP, "\u0001$1"), "\u0001")
-    cuts = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)) \
-        .otherwise(F.array().cast("array<int>"))
-    heads = F.filter(
-        F.transform(cuts, lambda k: F.concat(first["label"], F.array_join(F.slice(parts, F.lit(1), k), ""))),
-        lambda h: h.rlike(NARROW_CUES))
-    return F.coalesce(F.get(heads, F.lit(0)), F.concat(first["label"], tail), f)
+
+    def cut(label, parts):
+        ends = F.when(F.size(parts) > 1, F.sequence(F.lit(1), F.size(parts) - 1)) \
+            .otherwise(F.array().cast("array<int>"))
+        heads = F.transform(ends, lambda k: F.concat(label, F.array_join(F.slice(parts, F.lit(1), k), "")))
+        return F.coalesce(F.get(F.filter(heads, lambda h: h.rlike(NARROW_CUES)), F.lit(0)),
+                          F.concat(label, F.array_join(parts, "")))
+
+    def from_label(first):
+        tail = F.substring(f, first["at"] + F.length(first["label"]), F.length(f))
+        return bind(F.split(F.regexp_replace(tail, NEXT_GROUP, "\u0001$1"), "\u0001"),
+                    lambda parts: cut(first["label"], parts))
+    return F.coalesce(bind(F.array_min(found), from_label), f)
 
 
 def _label(src: Column, pattern: str, at: int = 1) -> Column:
@@ -204,43 +215,44 @@ def _positive(src: Column, pattern: str) -> Column:
     return F.when(n != 0, n)
 
 
-def rule_fields(fragment, kind, current, ladder) -> dict[str, Column]:
-    """Columns of the rule stated by a narrowed fragment."""
-    t = col(fragment)
+def with_rule_fields(df: DataFrame) -> DataFrame:
+    """Add the rule stated by a narrowed fragment (columns fragment, kind, current, ladder)."""
+    t = F.col("fragment")
 
-    def steps_to(n):
-        return target_by_steps(kind, current, n, ladder)
-
-    top_n1 = F.coalesce(F.regexp_extract(t, RE_TOP_TARGET, 1).try_cast("double"),
-                        F.regexp_extract(t, RE_TOP_TARGET, 2).try_cast("double"))
-    top_to_n = F.regexp_extract(t, RE_TOP_TARGET, 3).try_cast("bigint")
-    has_top_target = (top_n1 > 0) & (top_to_n > 0)
-    top_target = F.when(has_top_target, F.concat(
-        top_to_n.cast("string"), F.regexp_extract(t, RE_TOP_TARGET, 4)))
-
-    whole = F.regexp_extract(t, RE_TOP_STEPS, 0)
-    place = F.regexp_extract(t, RE_TOP_STEPS, 1).try_cast("bigint")
-    ranked = F.when(F.contains(whole, F.lit("第一")), F.lit(1).cast("bigint")) \
-        .when(place > 0, place).otherwise(chinese_number(F.regexp_extract(t, RE_TOP_STEPS, 2)))
-    place_steps = step_count(F.regexp_extract(t, RE_TOP_STEPS, 3))
-    has_top_steps = (whole != "") & (ranked > 0) & (place_steps > 0)
-
-    top_n = F.coalesce(F.when(has_top_target, top_n1),
-                       F.when(has_top_steps, ranked.cast("double")), _positive(t, RE_TOP))
-    top_n = F.when(F.contains(t, F.lit("冠军")) & top_n.isNull(), F.lit(1.0)).otherwise(top_n)
-
-    steps = F.coalesce(step_count(F.regexp_extract(t, RE_STEPS, 1)),
-                       F.when(t.rlike(RE_ONE), F.lit(1).cast("bigint")))
-    return {
-        "percent": _positive(t, RE_PERCENT),
-        "top_n": top_n,
+    def part(pattern, i):
+        return F.regexp_extract(t, pattern, i)
+
+    df = df.withColumns({
+        "_tt_n": F.coalesce(part(RE_TOP_TARGET, 1).try_cast("double"), part(RE_TOP_TARGET, 2).try_cast("double")),
+        "_tt_to": part(RE_TOP_TARGET, 3).try_cast("bigint"), "_tt_unit": part(RE_TOP_TARGET, 4),
+        "_ts_all": part(RE_TOP_STEPS, 0), "_ts_n": part(RE_TOP_STEPS, 1).try_cast("bigint"),
+        "_ts_cn": part(RE_TOP_STEPS, 2), "_ts_up": part(RE_TOP_STEPS, 3),
+        "_steps": part(RE_STEPS, 1), "_full_steps": part(RE_FULL_STEPS, 1),
+        "_top": _positive(t, RE_TOP), "percent": _positive(t, RE_PERCENT),
         "wins": F.when(t.rlike(RE_WINS_A), _positive(t, RE_WINS_A)).otherwise(_positive(t, RE_WINS_B)),
-        "top_n_target": F.coalesce(top_target, F.when(has_top_steps, steps_to(place_steps))),
-        "target": F.coalesce(_label(t, RE_TARGET), _label(t, RE_APPLY), steps_to(steps)),
-        "full_win_target": F.coalesce(
-            _label(t, RE_FULL_TARGET),
-            steps_to(step_count(F.regexp_extract(t, RE_FULL_STEPS, 1)))),
-    }
+        "_target": F.coalesce(_label(t, RE_TARGET), _label(t, RE_APPLY)),
+        "_full_target": _label(t, RE_FULL_TARGET)})
+    rank = F.when(F.contains("_ts_all", F.lit("第一")), F.lit(1).cast("bigint")) \
+        .when(F.col("_ts_n") > 0, F.col("_ts_n")).otherwise(chinese_number("_ts_cn"))
+    df = df.withColumns({
+        "_has_tt": F.coalesce((F.col("_tt_n") > 0) & (F.col("_tt_to") > 0), F.lit(False)),
+        "_ts_rank": rank, "_ts_up": step_count("_ts_up"), "_full_steps": step_count("_full_steps"),
+        "_steps": F.coalesce(step_count("_steps"), F.when(t.rlike(RE_ONE), F.lit(1).cast("bigint")))})
+    df = df.withColumn("_has_ts", F.coalesce(
+        (F.col("_ts_all") != "") & (F.col("_ts_rank") > 0) & (F.col("_ts_up") > 0), F.lit(False)))
+
+    def steps_to(n):
+        return target_by_steps("kind", "current", n, "ladder")
+    top_n = F.coalesce(F.when(F.col("_has_tt"), F.col("_tt_n")),
+                       F.when(F.col("_has_ts"), F.col("_ts_rank").cast("double")), F.col("_top"))
+    df = df.withColumns({
+        "top_n": F.coalesce(top_n, F.when(F.contains(t, F.lit("冠军")), F.lit(1.0))),
+        "top_n_target": F.coalesce(
+            F.when(F.col("_has_tt"), F.concat(F.col("_tt_to").cast("string"), F.col("_tt_unit"))),
+            F.when(F.col("_has_ts"), steps_to("_ts_up"))),
+        "target": F.coalesce(F.col("_target"), steps_to("_steps")),
+        "full_win_target": F.coalesce(F.col("_full_target"), steps_to("_full_steps"))})
+    return df.drop(*[c for c in df.columns if c.startswith("_")])
 
 
 def has_rule(rule) -> Column:

@@ -9,6 +9,7 @@ from ..functions import ranks as K
 from ..functions.dates import at_day_end
 from ..functions.numbers import rounds
 from ..functions.text import date10, date_only, record_text, shorten, text
+from ..session import stage
 from . import rules
 from .search import ALL, DETAIL_BASE
 
@@ -18,7 +19,7 @@ ARGS = ("provincename", "title", "cname", "city_name")
 
 def levelled(candidates: DataFrame) -> DataFrame:
     """Entries whose group states one clear level."""
-    return candidates.withColumn("lv", K.candidate_level("group_name")).filter(F.col("lv").isNotNull())
+    return K.with_candidate_level(candidates).filter(F.col("lv").isNotNull())
 
 
 def event_flags(events: DataFrame) -> DataFrame:
@@ -76,26 +77,28 @@ def next_decisive_entry(undecided: DataFrame, candidates: DataFrame) -> DataFram
                 F.col("hit.entry.kind").alias("later_kind"), F.col("hit.entry.current").alias("later_current"))
 
 
-def later_group_inference(decided: DataFrame, candidates: DataFrame) -> DataFrame:
+def later_group_inference(decided: DataFrame) -> DataFrame:
     """Promotions shown by the player's next decisive entry, for entries without one by rule.
 
-    decided: entries with lv, ladder, rule and decision.
+    decided: all levelled entries with lv, ladder, rule and decision.
     """
     open_rows = decided.filter(~F.coalesce(F.col("decision.promoted"), F.lit(False))) \
         .filter(~K.is_casual_event("title", "cname", "city_name")) \
         .filter(K.is_inferable_event(*ARGS) | K.has_rule("rule"))
-    hit = next_decisive_entry(open_rows, candidates)
+    hit = next_decisive_entry(open_rows, decided)
     step = K.level_step(F.col("lv.kind"), F.col("lv.current"), F.col("later_kind"), F.col("later_current"), "ladder")
     return open_rows.join(hit, KEY).withColumn("step", step).withColumn(
         "inferred", F.col("step").between(1, 2) & _record_ok(F.col("step"))) \
         .withColumn("inferred_target", F.when(F.col("inferred"), K.level_text("later_kind", "later_current")))
 
 
-def decide(candidates: DataFrame, notices, confirmed, event_groups,
+def decide(candidates: DataFrame, participants: DataFrame, notices, confirmed, event_groups,
            confirmed_public=rules.CONFIRMED_PUBLIC_EVENTS) -> DataFrame:
+    """Entries with ladder, chosen rule and decision, stored: three later steps read them."""
     ladders = rules.level_ladder(event_groups)
-    rows = rules.with_rule(candidates, notices, confirmed, ladders, confirmed_public)
-    return rules.promotion_decision(rows.join(ladders, "event_id", "left"))
+    rows = rules.with_rule(candidates, rules.rule_groups(participants), notices, confirmed, ladders,
+                           confirmed_public)
+    return stage(rules.promotion_decision(rows.join(ladders, "event_id", "left")), "decided")
 
 
 _OUT = ["name", "event_id", "title", "date", "province", "city", "organizer", "group_name", "rank",
@@ -134,11 +137,11 @@ def external_evidence(evidence: DataFrame, name=None, province=None, date_from=N
         F.lit(1).alias("external"))
 
 
-def evidence_union(decided: DataFrame, candidates: DataFrame, evidence: DataFrame, **scope) -> DataFrame:
+def evidence_union(decided: DataFrame, evidence: DataFrame, **scope) -> DataFrame:
     """Promotions by rule, by later entries and by published lists."""
     by_rule = _item(decided.filter("decision.promoted"), F.col("decision.target"), "高", F.col("decision.basis"),
                     F.col("rule.text"), F.coalesce("rule.source", F.lit("notice")))
-    later = _item(later_group_inference(decided, candidates).filter("inferred"), F.col("inferred_target"), "中",
+    later = _item(later_group_inference(decided).filter("inferred"), F.col("inferred_target"), "中",
                   F.lit(""), F.lit(""), F.lit("subsequent-group"))
     return by_rule.unionByName(later).unionByName(external_evidence(evidence, **scope)).select(*_OUT)
 
@@ -170,15 +173,14 @@ def monotone_sequence(items: DataFrame) -> DataFrame:
     return kept.unionByName(rows.filter(F.col("dan") == 0).select(*items.columns))
 
 
-def promotion_history(candidates: DataFrame, notices, confirmed, event_groups, evidence, name=None,
-                      province=None, date_from=None, date_to=None) -> DataFrame:
+def promotion_history(decided: DataFrame, evidence: DataFrame, name=None, province=None, date_from=None,
+                      date_to=None) -> DataFrame:
     """Every promotion of every player (or one), after removal of repeats and steps back.
 
-    candidates: enriched entries (known rank and group size) with their level.
+    decided: all levelled entries of the scope, from decide().
     """
-    decided = decide(candidates, notices, confirmed, event_groups)
-    items = evidence_union(decided, candidates, evidence, name=name, province=province,
-                           date_from=date_from, date_to=at_day_end(date_to))
+    items = evidence_union(decided, evidence, name=name, province=province, date_from=date_from,
+                           date_to=at_day_end(date_to))
     out = monotone_sequence(dedupe_first(items)).drop("min_time", "external")
     return out if name is None else out.orderBy(F.desc("date"), "event_id")
 

@@ -7,12 +7,13 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.levels import GRAPH, with_entry_features
+from ..functions.levels import GRAPH, with_entry_features, with_event_features
 from ..functions.numbers import outcome_points
 from ..functions.text import text
+from ..schema import ENTRY_VIEW, EVENT_VIEW
 from ..session import stage
 from .games import player_games
-from .search import player_history
+from .search import scope_filter
 
 # fixed values of the rating model
 WINDOW_DAYS = 180
@@ -28,8 +29,14 @@ def window_start(as_of: str, days: int = WINDOW_DAYS) -> str:
 
 def window_rows(participants, events, as_of: str, province=None) -> DataFrame:
     """Entries of the trailing window with their rating features, for all players."""
-    rows = player_history(participants, events, None, province, window_start(as_of), as_of + " 23:59:59")
-    return with_entry_features(rows, as_of, GRAPH)
+    return entry_features(participants, events, as_of, GRAPH, province=province,
+                          date_from=window_start(as_of), date_to=as_of + " 23:59:59")
+
+
+def entry_features(participants, events, as_of: str, model, **scope) -> DataFrame:
+    """Entries of a scope with features; event features are worked out before the join."""
+    e = with_event_features(scope_filter(events, **scope).select(*EVENT_VIEW), as_of, model)
+    return with_entry_features(participants.select("event_id", *ENTRY_VIEW).join(e, "event_id"), model)
 
 
 def rating_nodes(rows: DataFrame) -> DataFrame:

@@ -54,8 +54,7 @@ def rule_dims(spark: SparkSession) -> DataFrame:
 
 def rule_coverage(participants: DataFrame, events: DataFrame) -> DataFrame:
     """The standards with the events and entries each of them could apply to."""
-    lv = K.candidate_level("group_name")
-    seats = participants.withColumn("lv", lv).filter(F.col("lv").isNotNull()) \
+    seats = K.with_candidate_level(participants).filter(F.col("lv").isNotNull()) \
         .groupBy("event_id", "lv.kind", "lv.current").agg(F.count(F.lit(1)).alias("entries"))
     per = seats.join(events.select("event_id", F.col("provincename").alias("province")), "event_id") \
         .groupBy("province", "kind", F.col("current").alias("level")) \
@@ -82,10 +81,10 @@ def fragment_rows(notices: DataFrame) -> DataFrame:
     return notice_fragments(notices).select("event_id", F.posexplode("fragments").alias("pos", "fragment"))
 
 
-def rule_groups(candidates: DataFrame) -> DataFrame:
-    """Distinct (event, group name, level): rules are mined once for each, not per player."""
-    return candidates.select("event_id", "group_name", F.col("lv.kind").alias("kind"),
-                             F.col("lv.current").alias("current")).distinct()
+def rule_groups(entries: DataFrame) -> DataFrame:
+    """Distinct (event, group name) with a level: rules are mined once for each, not per player."""
+    g = K.with_candidate_level(entries.select("event_id", "group_name").distinct())
+    return g.filter(F.col("lv").isNotNull()).select("event_id", "group_name", "lv.kind", "lv.current")
 
 
 def group_fragments(groups: DataFrame, notices: DataFrame) -> DataFrame:
@@ -105,10 +104,9 @@ def group_fragments(groups: DataFrame, notices: DataFrame) -> DataFrame:
 
 def fragment_fields(groups: DataFrame, notices: DataFrame, ladders: DataFrame) -> DataFrame:
     """Every narrowed fragment with the fields it states."""
-    rows = group_fragments(groups, notices).join(ladders, "event_id", "left")
-    fields = K.rule_fields("fragment", "kind", "current", "ladder")
-    return rows.select("event_id", "group_name", "kind", "current", "pos", "fragment",
-                       *[c.alias(n) for n, c in fields.items()])
+    rows = K.with_rule_fields(group_fragments(groups, notices).join(ladders, "event_id", "left"))
+    return rows.select("event_id", "group_name", "kind", "current", "pos", "fragment", "percent", "top_n", "wins",
+                       "top_n_target", "target", "full_win_target")
 
 
 def _rule(**fields) -> list:
@@ -153,10 +151,10 @@ def association_rules(candidates: DataFrame, confirmed_public=CONFIRMED_PUBLIC_E
         .drop("standard", "rule_kind", "rule_level")
 
 
-def with_rule(candidates: DataFrame, notices: DataFrame, confirmed: DataFrame, ladders: DataFrame,
-              confirmed_public=CONFIRMED_PUBLIC_EVENTS) -> DataFrame:
-    """Choose per entry: notice rule, else confirmed rule, else association standard."""
-    mined = notice_rules(rule_groups(candidates), notices, ladders)
+def with_rule(candidates: DataFrame, groups: DataFrame, notices: DataFrame, confirmed: DataFrame,
+              ladders: DataFrame, confirmed_public=CONFIRMED_PUBLIC_EVENTS) -> DataFrame:
+    """Choose per entry (groups as of rule_groups): notice rule, else confirmed rule, else association standard."""
+    mined = notice_rules(groups, notices, ladders)
     known = confirmed_rules(confirmed)
     c = association_rules(candidates, confirmed_public).withColumn("plain_group", strip_ws("group_name"))
     return c.join(mined, ["event_id", "group_name"], "left") \
@@ -175,17 +173,19 @@ def promotion_decision(rows: DataFrame) -> DataFrame:
     rank, size = F.col("rank"), F.col("group_size")
     name = text("group_name")
     top, wins, pct = r["top_n"], r["wins"], r["percent"]
-    full = (text(r["full_win_target"]) != "") & (n > 0) & (win == n)
-    by_top_target = (text(r["top_n_target"]) != "") & (top > 0) & (rank > 0) & (rank <= top)
-    by_percent = (pct > 0) & (rank > 0) & (size > 0)
-    by_top = (top > 0) & (rank > 0)
-    places = quota(size, pct, r["rounding"])
+    rows = rows.withColumns({
+        "_full": (text(r["full_win_target"]) != "") & (n > 0) & (win == n),
+        "_top_target": (text(r["top_n_target"]) != "") & (top > 0) & (rank > 0) & (rank <= top),
+        "_percent": (pct > 0) & (rank > 0) & (size > 0), "_top": (top > 0) & (rank > 0),
+        "_places": quota(size, pct, r["rounding"])})
+    full, by_top_target, by_percent, by_top, places = (
+        F.col(c) for c in ("_full", "_top_target", "_percent", "_top", "_places"))
     target = F.when(full, r["full_win_target"]).when(by_top_target, r["top_n_target"]).otherwise(r["target"])
     promoted = F.when(full, True).when(by_top_target, True).when(by_percent, rank <= places) \
         .when(by_top, rank <= top).when(wins > 0, win >= wins).otherwise(False)
     t = F.lit
     basis = F.when(full, F.concat(t("规程写明全胜特殊晋升；选手"), win.cast("string"), t("胜全胜"))) \
-        .when(by_top_target, F.concat(t("规程写明"), name, t("前"), plain_number(top), t("名晋升至"), target,
+        .when(by_top_target, F.concat(t("规程写明"), name, t("前"), plain_number(top), t("名晋升至"), F.col("_target"),
                                       t("；选手第"), rank.cast("string"), t("名"))) \
         .when(by_percent, F.concat(t("规程写明"), name, t("前"), plain_number(pct), t("%晋升；本组"),
                                    size.cast("string"), t("人，"), rounding_label(r["rounding"]), t("为"),
@@ -197,7 +197,9 @@ def promotion_decision(rows: DataFrame) -> DataFrame:
                             F.when(F.coalesce("draw", t(0)) > 0, F.concat(F.col("draw").cast("string"), t("和")))
                             .otherwise("")))
     enough = (F.coalesce(r["min_rounds"], t(0)) == 0) | (n >= r["min_rounds"])
-    yes = enough & promoted & (text(target) != "")
+    rows = rows.withColumn("_target", target) \
+        .withColumn("_yes", F.coalesce(enough & promoted & (text("_target") != ""), t(False)))
+    yes = F.col("_yes")
     return rows.withColumn("decision", F.when(r.isNotNull(), F.struct(
-        F.coalesce(yes, t(False)).alias("promoted"), F.when(yes, target).alias("target"),
-        F.when(yes, basis).alias("basis"))))
+        yes.alias("promoted"), F.when(yes, F.col("_target")).alias("target"), F.when(yes, basis).alias("basis")))) \
+        .drop("_full", "_top_target", "_percent", "_top", "_places", "_target", "_yes")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import level_label
 from ..functions.numbers import clamp, record_score
 from ..functions.text import text
+from ..session import stage
 from . import rating as R
 
 # fixed values
@@ -114,6 +117,53 @@ def name_totals(entries: DataFrame) -> DataFrame:
         F.count_if(five).alias("five_dan_evidence")))
 
 
+class StrengthRun:
+    """One estimation over a window: shared steps are stored once, results read them."""
+
+    def __init__(self, participants, events, matches, as_of: str, province=None, recent_n: int = RECENT_N,
+                 passes: int = R.PASSES):
+        self.participants, self.events, self.matches = participants, events, matches
+        self.as_of, self.province, self.recent_n, self.passes = as_of, province, recent_n, passes
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return stage(R.window_rows(self.participants, self.events, self.as_of, self.province), "window")
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return R.rating_nodes(self.rows)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return stage(R.rating_edges(self.nodes, self.matches), "games")
+
+    @cached_property
+    def rated(self) -> DataFrame:
+        return R.rating_iterate(self.nodes, self.edges, self.passes)
+
+    @cached_property
+    def split(self) -> DataFrame:
+        return namesake_split(self.rows, self.province)
+
+    @cached_property
+    def targets(self) -> DataFrame:
+        return stage(target_rows(self.rows, self.province, self.recent_n), "targets")
+
+    @cached_property
+    def own(self) -> DataFrame:
+        return R.own_matches(self.targets, self.nodes, self.matches)
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return stage(strength_entries(self.targets, self.rated, self.own), "entries")
+
+    def strength(self) -> DataFrame:
+        return player_strength(self.targets, self.entries, self.nodes, self.edges, self.matches)
+
+    def sets(self) -> DataFrame:
+        return strength_sets(self.split, self.targets, self.entries, self.nodes, self.matches, self.province)
+
+
 def player_strength(targets: DataFrame, entries: DataFrame, nodes: DataFrame, edges: DataFrame,
                     matches: DataFrame) -> DataFrame:
     """The final value of each player with confidence, range and evidence counts."""

@@ -19,6 +19,7 @@ from ..streaming import live_records, stream_upsert
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LOADED_AT = 5000
+EARLY = "1995-01-31"
 FALLBACK_LIMIT = 40
 SCOPES = {
     "open": search.resolve_scope(),
@@ -164,6 +165,10 @@ def _enriched(fx) -> DataFrame:
     return upsert.rank_size_enrich(c, landed.norm_participants(fx.payload_participants))
 
 
+def _groups(fx) -> DataFrame:
+    return rules.rule_groups(fx.participants)
+
+
 @query
 def rank_size_enrich(fx):
     return _enriched(fx).select(*ENTRY_KEY, "rank", "group_size")
@@ -303,27 +308,24 @@ def opponent_edges(fx):
     return live.opponent_edges(fx.participants, fx.matches)
 
 
-def _window(fx) -> DataFrame:
-    return rating.window_rows(fx.participants, fx.events, AS_OF)
+def _run(fx) -> strength.StrengthRun:
+    return fx.shared("strength", lambda: strength.StrengthRun(
+        fx.participants, fx.events, fx.matches, AS_OF, recent_n=RECENT_N))
 
 
 @query
 def rating_edges(fx):
-    return rating.rating_edges(rating.rating_nodes(_window(fx)), fx.matches)
-
-
-def _targets(fx) -> DataFrame:
-    return strength.target_rows(_window(fx), recent_n=RECENT_N)
+    return _run(fx).edges
 
 
 @query
 def own_matches(fx):
-    return rating.own_matches(_targets(fx), rating.rating_nodes(_window(fx)), fx.matches)
+    return _run(fx).own
 
 
 @query
 def namesake_split(fx):
-    return rnd(strength.namesake_split(_window(fx)).select(*ENTRY_KEY, "participant_name", "provincename", "base", "removed"))
+    return rnd(_run(fx).split.select(*ENTRY_KEY, "participant_name", "provincename", "base", "removed"))
 
 
 def _levelled(fx) -> DataFrame:
@@ -331,12 +333,13 @@ def _levelled(fx) -> DataFrame:
 
 
 def _decided(fx) -> DataFrame:
-    return promotion.decide(_levelled(fx), fx.notices, fx.confirmed_rules, fx.groups)
+    return fx.shared("decided", lambda: promotion.decide(
+        _levelled(fx), fx.participants, fx.notices, fx.confirmed_rules, fx.groups))
 
 
 @query
 def later_group_inference(fx):
-    return promotion.later_group_inference(_decided(fx), _levelled(fx)).select(
+    return promotion.later_group_inference(_decided(fx)).select(
         *ENTRY_KEY, "later_time", "later_event_id", "later_group_id", F.col("step").cast("bigint").alias("step"),
         "inferred", "inferred_target")
 
@@ -350,7 +353,7 @@ def association_rule_join(fx):
 
 @query
 def rule_source_choice(fx):
-    r = rules.with_rule(_levelled(fx), fx.notices, fx.confirmed_rules, rules.level_ladder(fx.groups))
+    r = rules.with_rule(_levelled(fx), _groups(fx), fx.notices, fx.confirmed_rules, rules.level_ladder(fx.groups))
     return r.select(*ENTRY_KEY, "rule.source", F.col("rule.text").alias("rule_text"), "rule.percent", "rule.top_n",
                     "rule.wins", "rule.target", "rule.full_win_target", "rule.top_n_target")
 
@@ -408,42 +411,25 @@ def standings(fx):
     return _standings(fx).drop("display_order")
 
 
-def _rated(fx) -> DataFrame:
-    nodes = rating.rating_nodes(_window(fx))
-    return rating.rating_iterate(nodes, rating.rating_edges(nodes, fx.matches))
-
-
 @query
 def rating_iterate(fx):
-    return rnd(_rated(fx))
-
-
-def _entries(fx) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Target rows, usable entries, graph nodes."""
-    targets, nodes = _targets(fx), rating.rating_nodes(_window(fx))
-    own = rating.own_matches(targets, nodes, fx.matches)
-    return targets, strength.strength_entries(targets, _rated(fx), own), nodes
+    return rnd(_run(fx).rated)
 
 
 @query
 def player_strength(fx):
-    targets, entries, nodes = _entries(fx)
-    return rnd(strength.player_strength(targets, entries, nodes, rating.rating_edges(nodes, fx.matches), fx.matches))
+    return rnd(_run(fx).strength())
 
 
 @query
 def strength_sets(fx):
-    targets, entries, nodes = _entries(fx)
-    out = strength.strength_sets(strength.namesake_split(_window(fx)), targets, entries, nodes, fx.matches)
-    return out.select("name", *joined("orgs", "provinces", "warnings"), "groups", "opponents")
+    return _run(fx).sets().select("name", *joined("orgs", "provinces", "warnings"), "groups", "opponents")
 
 
 @query
 def unavailable_reason(fx):
-    targets, entries, _ = _entries(fx)
-    # players of the whole store; a one-day window leaves many without entries
-    narrow = F.col("min_time") >= "2000-06-01"
-    return strength.unavailable_reason(fx.participants, targets.filter(narrow), entries.filter(narrow)) \
+    run = strength.StrengthRun(fx.participants, fx.events, fx.matches, EARLY, recent_n=RECENT_N)
+    return strength.unavailable_reason(fx.participants, run.targets, run.entries) \
         .select("name", "reason", *joined("groups"))
 
 
@@ -486,7 +472,7 @@ def strength_notes(fx):
 
 
 def _promotions(fx) -> DataFrame:
-    return promotion.promotion_history(_levelled(fx), fx.notices, fx.confirmed_rules, fx.groups, fx.evidence)
+    return promotion.promotion_history(_decided(fx), fx.evidence)
 
 
 @query
@@ -509,11 +495,11 @@ def standing_rank(fx):
 
 @query
 def recent_n_per_player(fx):
-    return strength.recent_n_per_player(_window(fx), RECENT_N).select(*ENTRY_KEY, "participant_name", "min_time", "recency")
+    return strength.recent_n_per_player(_run(fx).rows, RECENT_N).select(*ENTRY_KEY, "participant_name", "min_time", "recency")
 
 
 def _evidence(fx) -> DataFrame:
-    return promotion.evidence_union(_decided(fx), _levelled(fx), fx.evidence)
+    return promotion.evidence_union(_decided(fx), fx.evidence)
 
 
 _ITEM = ["name", "date", "event_id", "group_id", "participant_id", "title", "group_name", "promoted_to", "source"]
@@ -536,7 +522,7 @@ def monotone_sequence(fx):
 
 @query
 def top_basis_events(fx):
-    _, entries, _ = _entries(fx)
+    entries = _run(fx).entries
     return rnd(strength.top_basis_events(entries).select(
         *ENTRY_KEY, "participant_name", "place", "base", "rating",
         (F.col("rating") - F.col("base")).alias("correction"), "weight", "own_games"))
@@ -557,12 +543,12 @@ def first_game_per_bout(fx):
 def next_decisive_event(fx):
     d = _decided(fx)
     open_rows = d.filter(~F.coalesce(F.col("decision.promoted"), F.lit(False)))
-    return promotion.next_decisive_entry(open_rows, _levelled(fx))
+    return promotion.next_decisive_entry(open_rows, d)
 
 
 @query
 def skill_anchor_floor(fx):
-    _, entries, _ = _entries(fx)
+    entries = _run(fx).entries
     return rnd(entries.select(*ENTRY_KEY, "participant_name", "is_age_group", "first_rating", "anchor", "rating"))
 
 
@@ -598,7 +584,7 @@ def distinct_groups(fx):
 
 @query
 def removed_rows(fx):
-    return strength.removed_rows(strength.namesake_split(_window(fx))).select(*ENTRY_KEY, "participant_name")
+    return strength.removed_rows(_run(fx).split).select(*ENTRY_KEY, "participant_name")
 
 
 # ---- scalar feature jobs ----------------------------------------------------
@@ -606,24 +592,23 @@ def removed_rows(fx):
 
 @query
 def group_level_l(fx):
-    return fx.groups.select("group_id", "group_name", L.group_level("group_name").alias("l"),
-                            L.group_level("group_name", L.QUICK).alias("quick_l"))
-
-
-def _group_events(fx) -> DataFrame:
-    return fx.groups.select("group_id", "event_id", "group_name").join(fx.events.select("event_id", "title", "cname"), "event_id")
+    g = L.with_group_level(fx.groups.select("group_id", "group_name"), "l")
+    return L.with_group_level(g, "quick_l", L.QUICK)
 
 
 @query
 def age_group_l(fx):
-    args = ("group_name", "title", "cname")
-    return rnd(_group_events(fx).select("group_id", L.age_group_level(*args).alias("l"),
-                                        L.age_group_level(*args, L.QUICK).alias("quick_l")))
+    e = fx.events.select("event_id", L.event_tier("title", "cname").alias("t1"),
+                         L.event_tier("title", "cname", L.QUICK).alias("t2"))
+    g = fx.groups.select("group_id", "event_id", "group_name").join(e, "event_id")
+    g = L.with_age_group_level(g.withColumn("tier", F.col("t1")), "l")
+    return rnd(L.with_age_group_level(g.withColumn("tier", F.col("t2")), "quick_l", L.QUICK)
+               .select("group_id", "l", "quick_l"))
 
 
 @query
 def entry_base(fx):
-    return rnd(L.with_entry_features(_history(fx), AS_OF).select(
+    return rnd(rating.entry_features(fx.participants, fx.events, AS_OF, L.GRAPH).select(
         *ENTRY_KEY, "group_l", "wr_adj", "base", "is_age_group", "is_open", "rounds"))
 
 
@@ -641,7 +626,7 @@ def event_level_weight(fx):
 
 @query
 def level_label(fx):
-    v = L.with_entry_features(_history(fx), AS_OF)
+    v = rating.entry_features(fx.participants, fx.events, AS_OF, L.GRAPH)
     return v.select(*ENTRY_KEY, L.level_label("base").alias("label"),
                     L.level_label(F.col("base") - 26).alias("low_label"))
 
@@ -653,7 +638,7 @@ def record_score(fx):
 
 @query
 def elite_youth_bonus(fx):
-    _, entries, _ = _entries(fx)
+    entries = _run(fx).entries
     return rnd(strength.name_totals(entries).select(
         "participant_name", "l_mean", "l_elite", "strong_events", "skill_events", "weak_skill_events", "five_dan_proofs"))
 
@@ -665,14 +650,12 @@ def outcome_code(fx):
 
 @query
 def candidate_level(fx):
-    return fx.groups.select("group_id", "group_name", K.candidate_level("group_name").alias("v")) \
-        .select("group_id", "group_name", "v.kind", "v.current")
+    return K.with_candidate_level(fx.groups).select("group_id", "group_name", "lv.kind", "lv.current")
 
 
 def _ladder_steps(fx) -> DataFrame:
     """Neighbouring groups of an event (g and g + 1) with the event's ladder."""
-    c = fx.groups.select("event_id", "g", K.candidate_level("group_name").alias("v")) \
-        .select("event_id", "g", "v.kind", "v.current")
+    c = K.with_candidate_level(fx.groups).select("event_id", "g", "lv.kind", "lv.current")
     to = c.select("event_id", (F.col("g") - 1).alias("g"), F.col("kind").alias("to_kind"), F.col("current").alias("to_current"))
     return c.join(to, ["event_id", "g"]).join(rules.level_ladder(fx.groups), "event_id", "left")
 
@@ -746,28 +729,24 @@ def notice_fragments(fx):
     return rules.fragment_rows(fx.notices)
 
 
-def _rule_groups(fx) -> DataFrame:
-    return rules.rule_groups(_levelled(fx))
-
-
 @query
 def fragment_group_match(fx):
-    return rules.group_fragments(_rule_groups(fx), fx.notices).select("event_id", "group_name", "pos", F.col("matched_text").alias("fragment"))
+    return rules.group_fragments(_groups(fx), fx.notices).select("event_id", "group_name", "pos", F.col("matched_text").alias("fragment"))
 
 
 @query
 def fragment_narrow(fx):
-    return rules.group_fragments(_rule_groups(fx), fx.notices).select("event_id", "group_name", "pos", "fragment")
+    return rules.group_fragments(_groups(fx), fx.notices).select("event_id", "group_name", "pos", "fragment")
 
 
 @query
 def rule_fields(fx):
-    return rules.fragment_fields(_rule_groups(fx), fx.notices, rules.level_ladder(fx.groups))
+    return rules.fragment_fields(_groups(fx), fx.notices, rules.level_ladder(fx.groups))
 
 
 @query
 def rule_pick(fx):
-    return rules.notice_rules(_rule_groups(fx), fx.notices, rules.level_ladder(fx.groups)).select(
+    return rules.notice_rules(_groups(fx), fx.notices, rules.level_ladder(fx.groups)).select(
         "event_id", "group_name", F.col("notice_rule.text").alias("rule_text"), "notice_rule.percent", "notice_rule.top_n",
         "notice_rule.wins", "notice_rule.top_n_target", "notice_rule.target", "notice_rule.full_win_target")
 

@@ -9,6 +9,7 @@ tables as they would in production.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -288,6 +289,7 @@ class Fixtures:
         label = re.sub(r"[^A-Za-z0-9.]+", "_", self.sf_dir)
         self.root = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/tables{label}"
         self._frames: dict[str, DataFrame] = {}
+        self._shared: dict = {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Fixtures":
@@ -301,6 +303,15 @@ class Fixtures:
             raise AttributeError(name)
         return self.table(name)
 
+    def shared(self, label: str, make: Callable):
+        """A result that several queries build on, made once per session."""
+        if label not in self._shared:
+            self._shared[label] = make()
+        return self._shared[label]
+
+    def forget_shared(self) -> None:
+        self._shared.clear()
+
     def path(self, name: str) -> str:
         return f"{self.root}/fx_{name}"
 
