@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dates import as_date
-from .numbers import rounds
+from .numbers import clamp, rounds
 from .text import WS, col, date10, event_text, text, trim_ws
 
 # ---- fixed values -----------------------------------------------------------
@@ -187,7 +187,7 @@ def event_weight(title, organizer, model: Model = GRAPH) -> Column:
 
 
 def level_label(value) -> Column:
-    v = F.greatest(F.lit(0.5), F.least(F.lit(33.99), col(value)))
+    v = clamp(value, 0.5, 33.99)
     base = F.floor(v)
     frac = v - base
     tier = F.when(frac < 0.34, "弱").when(frac < 0.67, "普通").otherwise("强")

@@ -34,7 +34,8 @@ def round_half_up(c, digits: int) -> Column:
 def clamp(c, low, high) -> Column:
     lo = F.lit(float(low)) if not isinstance(low, Column) else low
     hi = F.lit(float(high)) if not isinstance(high, Column) else high
-    return F.greatest(lo, F.least(hi, col(c)))
+    # least and greatest skip nulls, so a null has to be kept by hand
+    return F.when(col(c).isNotNull(), F.greatest(lo, F.least(hi, col(c))))
 
 
 def rounds(win="win", lose="lose", draw="draw") -> Column:

@@ -112,9 +112,10 @@ O["index_status_upsert"] = with_tables("""select coalesce(c.event_id, b.event_id
   from (select event_id, count(distinct group_id) as g, count(*) as n from fx_participants group by event_id) c
   full join (select * from fx_index_status where last_error <> '') b on b.event_id = c.event_id""")
 
-_SECTION = """(select string_agg(coalesce(s->>'t', '') || ': ' || {clean}, chr(10) order by i)
-  from (select unnest(cast(json_extract(payload, '$[*]') as json[])) as s,
-               unnest(range(json_array_length(payload))) as i))"""
+_LIST = "case when payload like '[%' then payload else '[]' end"
+_SECTION = f"""(select string_agg(coalesce(s->>'t', '') || ': ' || {{clean}}, chr(10) order by i)
+  from (select unnest(cast(json_extract({_LIST}, '$[*]') as json[])) as s,
+               unnest(range(cast(json_array_length({_LIST}) as bigint))) as i))"""
 _CLEAN_H = strip_html(uri("coalesce(s->>'h', '')"))
 _PAYLOAD = (f"case when payload like '[%' then {trim(_SECTION.format(clean=_CLEAN_H))} "
             f"else {strip_html(uri('payload'))} end")

@@ -10,6 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb  # noqa: E402
+import pandas as pd  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 from tengen.session import build_session  # noqa: E402
@@ -27,7 +28,7 @@ def connect(sf):
 
 def canon(pdf):
     cols = sorted(pdf.columns)
-    rows = [tuple(None if v is None or v != v else v for v in r)
+    rows = [tuple(None if v is None or v is pd.NA or v is pd.NaT or v != v else v for v in r)
             for r in pdf[cols].astype(object).itertuples(index=False, name=None)]
     return cols, sorted(rows, key=lambda r: tuple((v is not None, str(v)) for v in r))
 
