@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .dates import as_date
 from .numbers import clamp, rounds
 from .text import WS, col, date10, event_text, text, trim_ws
@@ -147,8 +148,8 @@ def event_tier(title, organizer, model: Model = GRAPH) -> Column:
     return _ladder(model.tiers, event_text(title, organizer).rlike, F.lit(model.tier_default))
 
 
-def with_age_group_level(df: DataFrame, out: str = "age_l", model: Model = GRAPH) -> DataFrame:
-    """L of an age or school-grade group from group_name and the event's tier (column tier)."""
+def with_age_adjustment(df: DataFrame, out: str = "age_adj", model: Model = GRAPH) -> DataFrame:
+    """What an age or school-grade group_name adds to its event's tier, null for other groups."""
     g = F.col("_g")
     grade = _ladder([(k + "年级", v) for k, v in model.grades],
                     lambda k: F.contains(g, F.lit(k)), F.lit(0.0))
@@ -161,10 +162,20 @@ def with_age_group_level(df: DataFrame, out: str = "age_l", model: Model = GRAPH
     by_age = _ladder(model.ages, lambda limit: F.col("_age") <= limit, F.lit(model.age_above))
     adj = F.when(F.col("_age").isNotNull(), by_age).when(F.col("_grade") == 0, letter).otherwise(F.col("_grade"))
     return df.withColumn("_g", trim_ws("group_name")).withColumns({"_age": age, "_grade": by_grade}) \
-        .withColumn(out, F.when(g.rlike(model.age_gate) & ~g.rlike(AGE_NOT_RATED), F.col("tier") + adj)) \
+        .withColumn(out, F.when(g.rlike(model.age_gate) & ~g.rlike(AGE_NOT_RATED), adj)) \
         .drop("_g", "_age", "_grade")
 
 
+def name_features(entries: DataFrame, model: Model = GRAPH) -> DataFrame:
+    """skill_l and age_adj of every distinct group_name.
+
+    Names repeat for every seat, so the text rules run on the distinct names only.
+    The table is stored: its real size then decides whether a join may broadcast it.
+    """
+    names = entries.select("group_name").distinct()
+    return stage(with_age_adjustment(with_group_level(names, "skill_l", model), "age_adj", model), "names")
+
+
 def win_rate_adj(win, lose, draw, model: Model = GRAPH) -> Column:
     n = rounds(win, lose, draw)
     rate = (F.coalesce(col(win), F.lit(0)) + 0.5 * F.coalesce(col(draw), F.lit(0))) / n
@@ -203,14 +214,13 @@ def with_event_features(events: DataFrame, as_of: str, model: Model = GRAPH) ->
 
 
 def with_entry_features(entries: DataFrame, model: Model = GRAPH) -> DataFrame:
-    """Add group L, base and flags to entries joined with event features.
+    """Add group L, base and flags to entries joined with name and event features.
 
     base is null where the entry cannot be used.
     """
-    df = with_age_group_level(with_group_level(entries, "skill_l", model), "age_l", model)
-    df = df.withColumns({
-        "group_l": F.coalesce("skill_l", "age_l"), "rounds": rounds(),
-        "is_age_group": F.col("skill_l").isNull() & F.col("age_l").isNotNull(),
+    df = entries.withColumns({
+        "group_l": F.coalesce(F.col("skill_l"), F.col("tier") + F.col("age_adj")), "rounds": rounds(),
+        "is_age_group": F.col("skill_l").isNull() & F.col("age_adj").isNotNull(),
         "is_open": F.col("skill_l").isNotNull() & is_open_group("group_name"),
         "wr_adj": win_rate_adj("win", "lose", "draw", model)})
     adj = F.when(F.col("is_open") & (F.col("wr_adj") > 0), F.col("wr_adj") * model.open_gain) \
@@ -223,4 +233,4 @@ def with_entry_features(entries: DataFrame, model: Model = GRAPH) -> DataFrame:
     if model.open_floor is not None:
         df = df.withColumn("base", F.when(F.col("is_open") & F.col("base").isNotNull(), F.greatest(
             "base", F.lit(model.open_floor))).otherwise(F.col("base")))
-    return df.drop("skill_l", "age_l", "tier")
+    return df.drop("skill_l", "age_adj", "tier")

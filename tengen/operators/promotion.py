@@ -17,9 +17,9 @@ KEY = ["event_id", "group_id", "participant_id"]
 ARGS = ("provincename", "title", "cname", "city_name")
 
 
-def levelled(candidates: DataFrame) -> DataFrame:
-    """Entries whose group states one clear level."""
-    return K.with_candidate_level(candidates).filter(F.col("lv").isNotNull())
+def levelled(candidates: DataFrame, levels: DataFrame) -> DataFrame:
+    """Entries whose group states one clear level (levels as of rules.level_names)."""
+    return candidates.join(levels, "group_name")
 
 
 def event_flags(events: DataFrame) -> DataFrame:
@@ -92,12 +92,11 @@ def later_group_inference(decided: DataFrame) -> DataFrame:
         .withColumn("inferred_target", F.when(F.col("inferred"), K.level_text("later_kind", "later_current")))
 
 
-def decide(candidates: DataFrame, participants: DataFrame, notices, confirmed, event_groups,
+def decide(candidates: DataFrame, groups: DataFrame, notices, confirmed, event_groups,
            confirmed_public=rules.CONFIRMED_PUBLIC_EVENTS) -> DataFrame:
-    """Entries with ladder, chosen rule and decision, stored: three later steps read them."""
+    """Entries (groups as of rules.rule_groups) with ladder, chosen rule and decision, stored: three later steps read them."""
     ladders = rules.level_ladder(event_groups)
-    rows = rules.with_rule(candidates, rules.rule_groups(participants), notices, confirmed, ladders,
-                           confirmed_public)
+    rows = rules.with_rule(candidates, groups, notices, confirmed, ladders, confirmed_public)
     return stage(rules.promotion_decision(rows.join(ladders, "event_id", "left")), "decided")
 
 

@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.levels import GRAPH, with_entry_features, with_event_features
+from ..functions.levels import GRAPH, name_features, with_entry_features, with_event_features
 from ..functions.numbers import outcome_points
 from ..functions.text import text
 from ..schema import ENTRY_VIEW, EVENT_VIEW
@@ -34,9 +34,11 @@ def window_rows(participants, events, as_of: str, province=None) -> DataFrame:
 
 
 def entry_features(participants, events, as_of: str, model, **scope) -> DataFrame:
-    """Entries of a scope with features; event features are worked out before the join."""
+    """Entries of a scope with features; name and event features are worked out before the joins."""
+    names = name_features(participants, model)
     e = with_event_features(scope_filter(events, **scope).select(*EVENT_VIEW), as_of, model)
-    return with_entry_features(participants.select("event_id", *ENTRY_VIEW).join(e, "event_id"), model)
+    return with_entry_features(participants.select("event_id", *ENTRY_VIEW).join(e, "event_id")
+                               .join(names, "group_name", "left"), model)
 
 
 def rating_nodes(rows: DataFrame) -> DataFrame:

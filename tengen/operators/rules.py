@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ranks as K
 from ..functions.numbers import plain_number, quota, rounding_label, rounds
 from ..functions.text import notice_text, strip_ws, text
+from ..session import stage
 
 # ---- fixed values: association standards ------------------------------------
 # province, source, rounding, rounds needed
@@ -54,7 +55,7 @@ def rule_dims(spark: SparkSession) -> DataFrame:
 
 def rule_coverage(participants: DataFrame, events: DataFrame) -> DataFrame:
     """The standards with the events and entries each of them could apply to."""
-    seats = K.with_candidate_level(participants).filter(F.col("lv").isNotNull()) \
+    seats = participants.join(level_names(participants), "group_name") \
         .groupBy("event_id", "lv.kind", "lv.current").agg(F.count(F.lit(1)).alias("entries"))
     per = seats.join(events.select("event_id", F.col("provincename").alias("province")), "event_id") \
         .groupBy("province", "kind", F.col("current").alias("level")) \
@@ -81,10 +82,17 @@ def fragment_rows(notices: DataFrame) -> DataFrame:
     return notice_fragments(notices).select("event_id", F.posexplode("fragments").alias("pos", "fragment"))
 
 
-def rule_groups(entries: DataFrame) -> DataFrame:
+def level_names(participants: DataFrame) -> DataFrame:
+    """Distinct group names that state one clear level, stored (names repeat for every seat)."""
+    return stage(K.with_candidate_level(participants.select("group_name").distinct()), "levels") \
+        .filter(F.col("lv").isNotNull())
+
+
+def rule_groups(participants: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """Distinct (event, group name) with a level: rules are mined once for each, not per player."""
-    g = K.with_candidate_level(entries.select("event_id", "group_name").distinct())
-    return g.filter(F.col("lv").isNotNull()).select("event_id", "group_name", "lv.kind", "lv.current")
+    levels = level_names(participants) if levels is None else levels
+    return participants.select("event_id", "group_name").distinct().join(levels, "group_name") \
+        .select("event_id", "group_name", "lv.kind", "lv.current")
 
 
 def group_fragments(groups: DataFrame, notices: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import numbers as N
 from ..functions import ranks as K
 from ..functions import text as X
 from ..operators import games, live, promotion, quick, rating, rules, search, strength
+from ..session import stage
 from ..sources import landed, markup, upsert
 from ..sources.fixtures import AS_OF, AS_OF_MS, RECENT_N, Fixtures
 from ..streaming import live_records, stream_upsert
@@ -165,8 +166,12 @@ def _enriched(fx) -> DataFrame:
     return upsert.rank_size_enrich(c, landed.norm_participants(fx.payload_participants))
 
 
+def _levels(fx) -> DataFrame:
+    return fx.shared("levels", lambda: rules.level_names(fx.participants))
+
+
 def _groups(fx) -> DataFrame:
-    return rules.rule_groups(fx.participants)
+    return rules.rule_groups(fx.participants, _levels(fx))
 
 
 @query
@@ -329,12 +334,12 @@ def namesake_split(fx):
 
 
 def _levelled(fx) -> DataFrame:
-    return promotion.levelled(_enriched(fx))
+    return promotion.levelled(_enriched(fx), _levels(fx))
 
 
 def _decided(fx) -> DataFrame:
     return fx.shared("decided", lambda: promotion.decide(
-        _levelled(fx), fx.participants, fx.notices, fx.confirmed_rules, fx.groups))
+        _levelled(fx), _groups(fx), fx.notices, fx.confirmed_rules, fx.groups))
 
 
 @query
@@ -359,7 +364,7 @@ def rule_source_choice(fx):
 
 
 def _quick_rows(fx) -> DataFrame:
-    return quick.quick_rows(fx.participants, fx.events, AS_OF)
+    return fx.shared("quick", lambda: stage(quick.quick_rows(fx.participants, fx.events, AS_OF), "quick"))
 
 
 @query
@@ -598,12 +603,12 @@ def group_level_l(fx):
 
 @query
 def age_group_l(fx):
-    e = fx.events.select("event_id", L.event_tier("title", "cname").alias("t1"),
-                         L.event_tier("title", "cname", L.QUICK).alias("t2"))
-    g = fx.groups.select("group_id", "event_id", "group_name").join(e, "event_id")
-    g = L.with_age_group_level(g.withColumn("tier", F.col("t1")), "l")
-    return rnd(L.with_age_group_level(g.withColumn("tier", F.col("t2")), "quick_l", L.QUICK)
-               .select("group_id", "l", "quick_l"))
+    e = fx.events.select("event_id", L.event_tier("title", "cname").alias("tier"),
+                         L.event_tier("title", "cname", L.QUICK).alias("quick_tier"))
+    g = L.with_age_adjustment(fx.groups.select("group_id", "event_id", "group_name"), "adj")
+    g = L.with_age_adjustment(g, "quick_adj", L.QUICK).join(e, "event_id")
+    return rnd(g.select("group_id", (F.col("tier") + F.col("adj")).alias("l"),
+                        (F.col("quick_tier") + F.col("quick_adj")).alias("quick_l")))
 
 
 @query

@@ -57,7 +57,8 @@ def compare(spark_pdf, duck_pdf):
 def main(argv):
     sf = argv[0] if argv else "/root/testdata/sf0.01"
     spark = build_session(master="local[8]", shuffle_partitions=8, spark__ui__enabled="false",
-                          spark__ui__showConsoleProgress="false", spark__driver__memory="12g")
+                          spark__ui__showConsoleProgress="false", spark__driver__memory="12g",
+                          spark__sql__execution__arrow__pyspark__enabled="true")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     qs, oracles = entry.queries(), entry.oracle_sql()
