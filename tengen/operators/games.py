@@ -22,6 +22,11 @@ def player_games(matches: DataFrame) -> DataFrame:
         .select("group_id", "bout", "p1_id", "p2_id", "s.*")
 
 
+def games_of_groups(matches: DataFrame, rows: DataFrame) -> DataFrame:
+    """Only the games of the groups that occur in rows, before anything costly is done to them."""
+    return matches.join(rows.select("group_id").distinct(), "group_id", "left_semi")
+
+
 def first_game_per_bout(matches: DataFrame) -> DataFrame:
     """One game per player and round; the limit runs before the shuffle as well."""
     w = Window.partitionBy("group_id", "me_id", "bout").orderBy("p1_id", "p2_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import DAY_MS, HOUR_MS, china_time_ms
 from ..functions.numbers import float_or_zero, is_played, parse_int, round_half_up
 from ..functions.text import date10, first_text, text
+from ..session import stage
 from .search import ALL
 
 # fixed values: labels and sort codes of the event states
@@ -138,6 +139,14 @@ def directed_pairs(matches: DataFrame) -> DataFrame:
         .select("group_id", "s.me", "s.opp")
 
 
+def _meetings(games: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct (me, opp) pairs with the opponent's row of known(group_id, opp, …).
+
+    One shuffle by (group_id, opp) serves both the removal of rematches and the join.
+    """
+    return directed_pairs(games).repartition("group_id", "opp").distinct().join(known, ["group_id", "opp"])
+
+
 def opponent_edges(players: DataFrame, matches: DataFrame) -> DataFrame:
     """Pairs that have met in a played game, both on the player list; rematches count once."""
     ids = players.select("group_id", "participant_id")
@@ -181,9 +190,9 @@ def _totals(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def standings(players: DataFrame, matches: DataFrame, progress: DataFrame) -> DataFrame:
     """Current table of each group with opponent scores and ranks."""
-    met = directed_pairs(_within_rounds(matches, progress).filter(is_played())).distinct()
+    played = _within_rounds(matches, progress).filter(is_played())
     opp = players.select("group_id", F.col("participant_id").alias("opp"), F.col("score").alias("opp_score"))
-    sums = met.join(opp, ["group_id", "opp"]).groupBy("group_id", F.col("me").alias("participant_id")) \
+    sums = _meetings(played, opp).groupBy("group_id", F.col("me").alias("participant_id")) \
         .agg(F.sum("opp_score").alias("opponent_score"))
     r = progress.select("group_id", F.greatest("completed_rounds", F.lit(1)).alias("formula_rounds"))
     rows = players.join(sums, ["group_id", "participant_id"], "left").join(r, "group_id", "left") \
@@ -208,15 +217,14 @@ def scenario_rank_distribution(players: DataFrame, matches: DataFrame, progress:
     groups = runs.groupBy("group_id").agg(F.count(F.lit(1)).alias("simulations"))
 
     games = _within_rounds(matches, progress).join(groups.select("group_id"), "group_id", "left_semi")
-    undecided = s.select("group_id", "bout", "p1_id", "p2_id").distinct()
-    pairs = directed_pairs(games.filter(is_played()).select("group_id", "p1_id", "p2_id")
-                           .unionByName(undecided.select("group_id", "p1_id", "p2_id"))).distinct()
     seats = players.join(groups, "group_id", "left_semi") \
         .select("group_id", "participant_id", "name", "short_no", "score")
     known = seats.select("group_id", F.col("participant_id").alias("opp"), F.col("score").alias("opp_score"))
-    base = pairs.join(known, ["group_id", "opp"]).groupBy("group_id", F.col("me").alias("participant_id")) \
-        .agg(F.sum("opp_score").alias("base_opp"))
-    moved = gain.select(*keys, F.col("participant_id").alias("opp"), "gain").join(pairs, ["group_id", "opp"]) \
+    # played or published: both make opponents
+    pairs = stage(_meetings(games, known), "meetings")
+    base = pairs.groupBy("group_id", F.col("me").alias("participant_id")).agg(F.sum("opp_score").alias("base_opp"))
+    moved = gain.select(*keys, F.col("participant_id").alias("opp"), "gain") \
+        .join(pairs.select("group_id", "me", "opp"), ["group_id", "opp"]) \
         .groupBy(*keys, F.col("me").alias("participant_id")).agg(F.sum("gain").alias("opp_gain"))
 
     rows = seats.join(base, ["group_id", "participant_id"], "left").join(runs, "group_id") \

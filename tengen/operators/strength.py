@@ -12,6 +12,7 @@ from ..functions.numbers import clamp, record_score
 from ..functions.text import text
 from ..session import stage
 from . import rating as R
+from .games import games_of_groups
 
 # fixed values
 RECENT_N = 80
@@ -129,13 +130,17 @@ class StrengthRun:
     def rows(self) -> DataFrame:
         return stage(R.window_rows(self.participants, self.events, self.as_of, self.province), "window")
 
+    @cached_property
+    def games(self) -> DataFrame:
+        return games_of_groups(self.matches, self.rows)
+
     @cached_property
     def nodes(self) -> DataFrame:
         return R.rating_nodes(self.rows)
 
     @cached_property
     def edges(self) -> DataFrame:
-        return stage(R.rating_edges(self.nodes, self.matches), "games")
+        return stage(R.rating_edges(self.nodes, self.games), "games")
 
     @cached_property
     def rated(self) -> DataFrame:
@@ -151,17 +156,17 @@ class StrengthRun:
 
     @cached_property
     def own(self) -> DataFrame:
-        return R.own_matches(self.targets, self.nodes, self.matches)
+        return R.own_matches(self.targets, self.nodes, self.games)
 
     @cached_property
     def entries(self) -> DataFrame:
         return stage(strength_entries(self.targets, self.rated, self.own), "entries")
 
     def strength(self) -> DataFrame:
-        return player_strength(self.targets, self.entries, self.nodes, self.edges, self.matches)
+        return player_strength(self.targets, self.entries, self.nodes, self.edges, self.games)
 
     def sets(self) -> DataFrame:
-        return strength_sets(self.split, self.targets, self.entries, self.nodes, self.matches, self.province)
+        return strength_sets(self.split, self.targets, self.entries, self.nodes, self.games, self.province)
 
 
 def player_strength(targets: DataFrame, entries: DataFrame, nodes: DataFrame, edges: DataFrame,

@@ -38,9 +38,14 @@ def with_envelope(df: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def _rows(df: DataFrame, row_type: str, *keep: str) -> DataFrame:
-    ready = with_envelope(df).filter(F.col("status") == "ready")
-    rows = F.from_json("data", f"struct<rows:array<{row_type}>>")["rows"]
-    return ready.select(*keep, F.explode(rows).alias("r"))
+    """Rows of all ready payloads. One parse: a 'wait' text in place of the data reads as null.
+
+    explode_outer keeps the optimizer from adding a filter that parses a second time;
+    empty payloads fall away with the rows that lack an id.
+    """
+    env = F.from_json(jsonp_body("payload"), f"error int, datArr struct<rows:array<{row_type}>>")
+    return df.select(*keep, env.alias("env")) \
+        .select(*keep, F.explode_outer(F.when(F.col("env.error") == 0, F.col("env.datArr.rows"))).alias("r"))
 
 
 def jsonp_rows(df: DataFrame) -> DataFrame:

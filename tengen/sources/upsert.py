@@ -78,8 +78,9 @@ def notice_upsert(old: DataFrame, fetched: DataFrame, at_ms: int) -> DataFrame:
 
 def rank_size_enrich(candidates: DataFrame, fresh: DataFrame) -> DataFrame:
     """Rank and group size from the index, else from a freshly landed participant list."""
-    size = fresh.groupBy("group_id").agg(F.count(F.lit(1)).alias("fresh_size"))
-    place = fresh.groupBy("group_id", "participant_id").agg(F.max("rank").alias("fresh_rank"))
+    seen = fresh.groupBy("group_id", "participant_id").agg(F.max("rank").alias("fresh_rank"), F.count(F.lit(1)).alias("n"))
+    size = seen.groupBy("group_id").agg(F.sum("n").alias("fresh_size"))
+    place = seen.drop("n")
     z = F.lit(0)
     known = F.coalesce(F.nullif(F.col("group_size"), z), F.nullif(F.col("indexed_group_size"), z), z)
     return candidates.join(size, "group_id", "left").join(place, ["group_id", "participant_id"], "left") \
