@@ -17,9 +17,12 @@ KEY = ["event_id", "group_id", "participant_id"]
 ARGS = ("provincename", "title", "cname", "city_name")
 
 
-def levelled(candidates: DataFrame, levels: DataFrame) -> DataFrame:
-    """Entries whose group states one clear level (levels as of rules.level_names)."""
-    return candidates.join(levels, "group_name")
+def levelled(candidates: DataFrame, levels: DataFrame, events: DataFrame) -> DataFrame:
+    """Entries whose group states one clear level (levels as of rules.level_names), with event flags.
+
+    The keyword tests run once per event, not once per entry.
+    """
+    return candidates.join(levels, "group_name").join(event_flags(events).drop("title"), "event_id")
 
 
 def event_flags(events: DataFrame) -> DataFrame:
@@ -52,7 +55,7 @@ def next_decisive_entry(undecided: DataFrame, candidates: DataFrame) -> DataFram
     def mark(kind, current):
         return F.when(kind == "dan", F.lit("dan")).otherwise(current.cast("string"))
 
-    later = candidates.filter(~K.is_casual_event("title", "cname", "city_name")).groupBy(
+    later = candidates.filter(~F.col("casual_event")).groupBy(
         "participant_name", mark(F.col("lv.kind"), F.col("lv.current")).alias("mark"), "min_time").agg(
             F.min(F.struct("event_id", "group_id", "participant_id", F.col("lv.kind").alias("kind"),
                            F.col("lv.current").alias("current"))).alias("entry"))
@@ -83,8 +86,7 @@ def later_group_inference(decided: DataFrame) -> DataFrame:
     decided: all levelled entries with lv, ladder, rule and decision.
     """
     open_rows = decided.filter(~F.coalesce(F.col("decision.promoted"), F.lit(False))) \
-        .filter(~K.is_casual_event("title", "cname", "city_name")) \
-        .filter(K.is_inferable_event(*ARGS) | K.has_rule("rule"))
+        .filter(~F.col("casual_event") & (F.col("inferable_event") | K.has_rule("rule")))
     hit = next_decisive_entry(open_rows, decided)
     step = K.level_step(F.col("lv.kind"), F.col("lv.current"), F.col("later_kind"), F.col("later_current"), "ladder")
     return open_rows.join(hit, KEY).withColumn("step", step).withColumn(

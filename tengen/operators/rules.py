@@ -142,16 +142,18 @@ def confirmed_rules(confirmed: DataFrame) -> DataFrame:
 
 
 def association_rules(candidates: DataFrame, confirmed_public=CONFIRMED_PUBLIC_EVENTS) -> DataFrame:
-    """Add the association's standard for the entry's level where its event qualifies."""
+    """Add the association's standard for the entry's level where its event qualifies.
+
+    candidates carry lv and the event flags (promotion.levelled).
+    """
     dims = rule_dims(candidates.sparkSession)
     rule = F.struct(*_rule(text=F.col("text"), percent=F.col("percent"), target=F.col("target"),
                            full_win_target=F.col("full_win_target"), rounding=F.col("rounding"),
                            min_rounds=F.col("min_rounds"), source=F.lit("association-general-rule")))
     dims = dims.select(F.col("province").alias("provincename"), F.col("kind").alias("rule_kind"),
                        F.col("level").alias("rule_level"), rule.alias("standard"))
-    args = ("provincename", "title", "cname", "city_name")
-    allowed = K.is_rank_event(*args) | (
-        K.is_backed_public_event(*args) & F.col("event_id").isin(*confirmed_public)
+    allowed = F.col("rank_event") | (
+        F.col("backed_public_event") & F.col("event_id").isin(*confirmed_public)
         & (F.col("lv.kind") == "dan") & (F.col("lv.current") >= 3))
     c = candidates.withColumn("rule_kind", F.col("lv.kind")).withColumn("rule_level", F.col("lv.current"))
     return c.join(F.broadcast(dims), ["provincename", "rule_kind", "rule_level"], "left") \

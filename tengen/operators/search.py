@@ -160,16 +160,20 @@ def h2h_candidates(participants, events, requests: DataFrame, province=None, dat
 
 
 def promotion_candidates(participants, events, event_groups, name=None, province=None, date_from=None,
-                         date_to=None) -> DataFrame:
+                         date_to=None, levels: DataFrame | None = None) -> DataFrame:
     """Entries with the announced and the counted group size.
 
+    With levels (group names that state a level), other entries drop out before the joins.
+
     The count runs over the whole table (not the filtered rows) and is
     pre-aggregated before it is joined back, so a huge group stays spread out.
     """
     eg = event_groups.select("group_id", F.col("pnumber").alias("group_size"))
     size = participants.groupBy("group_id").agg(F.count(F.lit(1)).alias("indexed_group_size"))
-    return player_history(participants, events, None, province, date_from, date_to) \
-        .filter(F.lit(True) if name is None else F.col("participant_name") == name) \
+    p = participants if name is None else participants.filter(F.col("participant_name") == name)
+    if levels is not None:
+        p = p.join(levels.select("group_name"), "group_name", "left_semi")
+    return player_history(p, events, None, province, date_from, date_to) \
         .join(eg, "group_id", "left").join(size, "group_id")
 
 

@@ -161,9 +161,12 @@ def notice_payload_text(fx):
     return fx.payload_notices.select("event_id", X.notice_payload_text("payload").alias("text"))
 
 
-def _enriched(fx) -> DataFrame:
-    c = search.promotion_candidates(fx.participants, fx.events, fx.groups)
-    return upsert.rank_size_enrich(c, landed.norm_participants(fx.payload_participants))
+def _enriched(fx, levels: DataFrame | None = None) -> DataFrame:
+    """Candidates with rank and size; only groups with a missing rank need their landed list."""
+    c = search.promotion_candidates(fx.participants, fx.events, fx.groups, levels=levels)
+    lists = fx.payload_participants.join(
+        fx.participants.filter(F.col("rank") == 0).select("group_id").distinct(), "group_id", "left_semi")
+    return upsert.rank_size_enrich(c, landed.norm_participants(lists))
 
 
 def _levels(fx) -> DataFrame:
@@ -304,8 +307,13 @@ def h2h_games(fx):
     return games.h2h_games(fx.matches, fx.participants, fx.events)
 
 
+def _announced(fx) -> DataFrame:
+    return fx.match_status.select("group_id", F.col("rounds").alias("total_rounds"))
+
+
 def _progress(fx) -> DataFrame:
-    return live.round_progress(fx.matches, fx.match_status.select("group_id", F.col("rounds").alias("total_rounds")))
+    """One row per group, read twice by the standings, so it is stored."""
+    return fx.shared("progress", lambda: stage(live.round_progress(fx.matches, _announced(fx)), "progress"))
 
 
 @query
@@ -334,7 +342,7 @@ def namesake_split(fx):
 
 
 def _levelled(fx) -> DataFrame:
-    return promotion.levelled(_enriched(fx), _levels(fx))
+    return promotion.levelled(_enriched(fx, _levels(fx)), _levels(fx), fx.events)
 
 
 def _decided(fx) -> DataFrame:
@@ -399,7 +407,7 @@ def group_max_rounds(fx):
 
 @query
 def round_progress(fx):
-    return _progress(fx)
+    return live.round_progress(fx.matches, _announced(fx))
 
 
 @query
