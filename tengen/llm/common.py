@@ -84,7 +84,7 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
 
 LETTER, NUMBER, OTHER, SPACE, WHITE = range(5)
 #: fixed values: the characters that regular expressions count as white space
-WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 
 
 @lru_cache(1)

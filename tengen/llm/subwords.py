@@ -14,7 +14,9 @@ import numpy as np
 
 from .common import WHITE_SPACE
 
-MAX_PIECES = 800_000
+MAX_PIECES = 1_200_000
+MARKS = frozenset(",.;:!?")
+MARKS_RAW = frozenset(c.encode() for c in MARKS)
 ODD = ["  ", " \n", "\n ", "\n\n", "\x00", *[c for c in WHITE_SPACE if c not in " \n"]]
 
 
@@ -58,6 +60,16 @@ class Encoder:
             return None
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
 
+    def learn(self, new: set) -> None:
+        """Encode pieces; the tokenizer parts a letter from a mark behind it, so a word with one last mark is two pieces."""
+        marks = MARKS_RAW if self.drops else MARKS
+        joined = {p for p in new if p[-1:] in marks and p[-2:-1].isalpha()}
+        fresh = list((new - joined | {p[:-1] for p in joined} | {p[-1:] for p in joined}).difference(self.cache))
+        plain = [x.decode() for x in fresh] if self.drops else fresh
+        self.cache.update(zip(fresh, self.each(plain), strict=True))
+        for p in joined:
+            self.cache[p] = self.cache[p[:-1]] + self.cache[p[-1:]]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(texts), 256):
@@ -67,9 +79,7 @@ class Encoder:
                 self.cache.clear()
             new = set().union(*[c for c in cut if c is not None]).difference(self.cache)
             if new:
-                fresh = list(new)
-                plain = [x.decode() for x in fresh] if self.drops else fresh
-                self.cache.update(zip(fresh, self.each(plain), strict=True))
+                self.learn(new)
             get = self.cache.__getitem__
             whole = iter(self.whole([t for t, c in zip(some, cut, strict=True) if c is None]))
             out += [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
