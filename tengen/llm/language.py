@@ -164,17 +164,19 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     return fit(sample(docs, max_rows), np.log((1 + n) / (1 + df)) + 1) if n else None
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """`docs` with lang_pred and score."""
+def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with the predicted language and its probability, under the given names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    first, second = names
+
     def scores(texts: list[str]) -> tuple[list[str], list[float]]:
-        m, names, sure = shared.value, [], []
+        m, found, sure = shared.value, [], []
         for a, b, keys, starts in grams(texts):
             edge = bounds(starts, keys.shape[1])
             size = np.diff(edge)
             if m is None:
-                names += [UNKNOWN] * (b - a)
+                found += [UNKNOWN] * (b - a)
                 sure += [0.0] * (b - a)
                 continue
             total = np.zeros((b - a, len(m.langs)))
@@ -183,17 +185,17 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 for row in keys:
                     total[full] += np.add.reduceat(m.weights[row], edge[full], axis=0, dtype=np.float64)
             p = softmax(total / np.maximum(1, ORDERS * size)[:, None])
-            names += [m.langs[k] if s else UNKNOWN for k, s in zip(p.argmax(1), size, strict=True)]
+            found += [m.langs[k] if s else UNKNOWN for k, s in zip(p.argmax(1), size, strict=True)]
             sure += np.where(size > 0, p.max(1), 0.0).tolist()
-        return names, sure
+        return found, sure
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sure = scores(texts_of(batch.column(batch.schema.get_field_index("text"))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())],
-                                             names=[*batch.schema.names, "lang_pred", "score"])
+            found, sure = scores(texts_of(batch.column(batch.schema.get_field_index("text"))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(sure, pa.float64())],
+                                             names=[*batch.schema.names, first, second])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["lang_pred string", "score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{first} string", f"{second} double"])
     return docs.mapInArrow(run, schema)
 
 
@@ -206,8 +208,8 @@ def identify(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
 def accepted(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Rows of `docs` in a language the model is sure of, with their own columns."""
-    rows = predict(docs.select(*[F.col(f"`{c}`") for c in docs.columns]), train(docs))
-    return rows.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).drop("lang_pred", "score")
+    rows = predict(docs, train(docs), ("_language_", "_sure_"))
+    return rows.where((F.col("_language_") != UNKNOWN) & (F.col("_sure_") >= min_score)).drop("_language_", "_sure_")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def test_language_model(make, texts):
 def test_windows_score_each_token_once():
     rng = np.random.default_rng(0)
     group, member = attention_lm.classes(np.arange(500.0))
-    model = attention_lm.Model(group, member, attention_lm.fit([rng.integers(1, 100, 400).astype(np.int32)]))
+    model = attention_lm.Model(group, member, attention_lm.fit([rng.integers(1, 100, 400).astype(np.int32)], 40))
     texts = [rng.integers(0, 500, n) for n in (0, 1, 5, 23, 24, 25, 41, 42, 43, 200)]
     w, want = model.weights, []
     for t in texts:  # token by token
