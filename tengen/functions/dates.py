@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, date10, text
+from .text import col, date10, text, trim_ws
 
 DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
@@ -22,10 +22,14 @@ def shift_date(c, days: int) -> Column:
     return date_text(F.date_add(as_date(c), days))
 
 
+#: fixed value: the input format of times, trimmed
+DATE_TIME = r"^(\d{4})-(\d{2})-(\d{2})(?:[ T](\d{2}):(\d{2})(?::(\d{2}))?)?"
+
+
 def china_time_ms(c) -> Column:
     """UTC+8 wall-clock text to epoch milliseconds; the time part is optional."""
-    pat = r"^[ \t]*(\d{4})-(\d{2})-(\d{2})(?:[ T](\d{2}):(\d{2})(?::(\d{2}))?)?"
-    src = text(c)
+    pat = DATE_TIME
+    src = trim_ws(text(c))
     part = [F.coalesce(F.regexp_extract(src, pat, i).try_cast("int"), F.lit(0)) for i in range(1, 7)]
     y, mo, d, h, mi, s = part
     # months and days beyond their range roll over

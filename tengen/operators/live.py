@@ -103,21 +103,19 @@ def live_order(rollup: DataFrame) -> DataFrame:
 
 
 def round_progress(matches: DataFrame, announced: DataFrame) -> DataFrame:
-    """Rounds announced (or inferred from the first round), completed and known per group.
+    """Rounds in all, completed and known per group. announced(group_id, total_rounds) may lack groups.
 
+    The stored games are evidence too: a group has at least as many rounds as its games show, whatever was announced.
     Rounds collapse to one row per (group, round) before anything looks at a whole group.
     """
-    per = matches.groupBy("group_id", "bout").agg(F.count(F.lit(1)).alias("n"), F.bool_and(is_played()).alias("done"))
-    first = F.coalesce(F.max(F.when(F.col("bout") == 1, F.col("n"))).over(Window.partitionBy("group_id")), F.lit(0)) * 2
-    inferred = F.when(first <= 8, 5).when(first <= 32, 7).otherwise(9)
-    a = announced.select("group_id", F.nullif("total_rounds", F.lit(0)).alias("given"))
-    per = per.withColumn("inferred", inferred).join(a, "group_id", "left") \
-        .withColumn("total_rounds", F.coalesce("given", "inferred"))
-    inside = F.col("bout") <= F.col("total_rounds")
-    return per.groupBy("group_id").agg(
-        F.max("total_rounds").alias("total_rounds"),
-        F.coalesce(F.max(F.when(inside & F.col("done"), F.col("bout"))), F.lit(0)).alias("completed_rounds"),
-        F.coalesce(F.max(F.when(inside, F.col("bout"))), F.lit(0)).alias("known_pairing_rounds"))
+    per = matches.groupBy("group_id", "bout").agg(F.bool_and(is_played()).alias("done"))
+    known = per.groupBy("group_id").agg(
+        F.coalesce(F.max(F.when(F.col("done"), F.col("bout"))), F.lit(0)).alias("completed_rounds"),
+        F.max("bout").alias("known_pairing_rounds"))
+    given = announced.select("group_id", F.col("total_rounds").alias("given"))
+    return known.join(given, "group_id", "left").select(
+        "group_id", F.greatest("known_pairing_rounds", F.coalesce("given", F.lit(0))).cast("int").alias("total_rounds"),
+        "completed_rounds", "known_pairing_rounds")
 
 
 def seat_list(participants: DataFrame) -> DataFrame:
@@ -127,11 +125,6 @@ def seat_list(participants: DataFrame) -> DataFrame:
                                F.col("rank").alias("cloud_rank"))
 
 
-def _within_rounds(matches: DataFrame, progress: DataFrame) -> DataFrame:
-    p = progress.select("group_id", "total_rounds")
-    return matches.join(p, "group_id").filter(F.col("bout") <= F.col("total_rounds"))
-
-
 def directed_pairs(matches: DataFrame) -> DataFrame:
     return matches.select("group_id", F.explode(F.array(
         F.struct(F.col("p1_id").alias("me"), F.col("p2_id").alias("opp")),
@@ -158,25 +151,35 @@ def opponent_edges(players: DataFrame, matches: DataFrame) -> DataFrame:
         .select("group_id", "a_id", "b_id")
 
 
+def score_rank(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rank by total, then score; ties share a rank.
+
+    Seats are counted per distinct (total, score) first, map-side, and only those few rows are summed from the top; so equal
+    totals, or one group with a third of all rows, never meet in one task.
+    """
+    cells = rows.groupBy(*keys, "total_score", "score").agg(F.count(F.lit(1)).alias("n"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("total_score"), F.desc("score")) \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("rank", F.coalesce(F.sum("n").over(above), F.lit(0)) + 1).drop("n")
+    return rows.join(cells, [*keys, "total_score", "score"]).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 def standing_rank(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rank by total, then score (ties share a rank), and a display order.
+    """Rank, and a display order in which ties go by short number, name and id.
 
-    Rows are ranked inside whole-point bands of the total; the bands above are
-    added as counts. So even a group with a third of all rows is sorted by many
-    tasks, and only the small band table is seen per group.
+    The display order is dealt by ranges of the whole order, so a group of equal totals spreads over many tasks; each range
+    numbers its own rows, and the counts of the ranges before it are added.
     """
-    rows = rows.withColumn("band", F.floor("total_score"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)
-    bands = rows.groupBy(*keys, "band").agg(F.count(F.lit(1)).alias("n")) \
-        .withColumn("ahead", F.coalesce(F.sum("n").over(above), F.lit(0))).drop("n")
-    inside = Window.partitionBy(*keys, "band").orderBy(F.desc("total_score"), F.desc("score"))
     short = F.coalesce(F.nullif(parse_int("short_no"), F.lit(0)), F.lit(9999))
-    shown = Window.partitionBy(*keys, "band").orderBy(
-        F.desc("total_score"), F.desc("score"), short, F.collate("name", "zh"), "participant_id")
-    return rows.join(bands, [*keys, "band"]) \
-        .withColumn("rank", (F.col("ahead") + F.rank().over(inside)).cast("bigint")) \
-        .withColumn("display_order", (F.col("ahead") + F.row_number().over(shown)).cast("bigint")) \
-        .drop("band", "ahead")
+    order = [F.desc("total_score"), F.desc("score"), short, F.collate("name", "zh"), F.col("participant_id")]
+    ranked = score_rank(rows, keys)
+    slices = stage(ranked.repartitionByRange(*keys, *order).withColumn("slice", F.spark_partition_id()), "display")
+    sizes = slices.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy(*keys, "slice").orderBy(*order))
+    return slices.withColumn("own", own).join(sizes, [*keys, "slice"]) \
+        .withColumn("display_order", (F.col("ahead") + F.col("own")).cast("bigint")).drop("slice", "own", "ahead")
 
 
 def _totals(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -190,7 +193,7 @@ def _totals(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def standings(players: DataFrame, matches: DataFrame, progress: DataFrame) -> DataFrame:
     """Current table of each group with opponent scores and ranks."""
-    played = _within_rounds(matches, progress).filter(is_played())
+    played = matches.filter(is_played())
     opp = players.select("group_id", F.col("participant_id").alias("opp"), F.col("score").alias("opp_score"))
     sums = _meetings(played, opp).groupBy("group_id", F.col("me").alias("participant_id")) \
         .agg(F.sum("opp_score").alias("opponent_score"))
@@ -210,13 +213,13 @@ def scenario_rank_distribution(players: DataFrame, matches: DataFrame, progress:
     """
     keys = ["scenario_id", "group_id"]
     p = progress.select("group_id", "total_rounds")
-    s = scenarios.join(p, "group_id").filter(F.col("bout") <= F.col("total_rounds"))
+    s = scenarios.join(p.select("group_id"), "group_id", "left_semi")
     gain = s.groupBy(*keys, F.when(F.col("p1_wins"), F.col("p1_id")).otherwise(F.col("p2_id")).alias("participant_id")) \
         .agg(F.sum(F.lit(2.0)).alias("gain"))
     runs = s.select(*keys).distinct()
     groups = runs.groupBy("group_id").agg(F.count(F.lit(1)).alias("simulations"))
 
-    games = _within_rounds(matches, progress).join(groups.select("group_id"), "group_id", "left_semi")
+    games = matches.join(groups.select("group_id"), "group_id", "left_semi")
     seats = players.join(groups, "group_id", "left_semi") \
         .select("group_id", "participant_id", "name", "short_no", "score")
     known = seats.select("group_id", F.col("participant_id").alias("opp"), F.col("score").alias("opp_score"))
@@ -234,7 +237,7 @@ def scenario_rank_distribution(players: DataFrame, matches: DataFrame, progress:
                 (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
                 (F.coalesce("base_opp", F.lit(0.0)) + F.coalesce("opp_gain", F.lit(0.0))).alias("opponent_score"),
                 F.greatest("total_rounds", F.lit(1)).alias("formula_rounds"))
-    ranked = standing_rank(_totals(rows, keys), keys)
+    ranked = score_rank(_totals(rows, keys), keys)
     counts = ranked.groupBy("group_id", "participant_id", "rank").agg(F.count(F.lit(1)).alias("count")) \
         .join(groups, "group_id").withColumn("probability", F.col("count") / F.col("simulations"))
     w = Window.partitionBy("group_id", "participant_id").orderBy(F.desc("probability"), "rank")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks as K
 from ..functions.numbers import plain_number, quota, rounding_label, rounds
-from ..functions.text import notice_text, strip_ws, text
+from ..functions.text import WS, notice_text, strip_ws, text
 from ..session import stage
 
 # ---- fixed values: association standards ------------------------------------
@@ -66,7 +66,7 @@ def rule_coverage(participants: DataFrame, events: DataFrame) -> DataFrame:
 
 def level_ladder(event_groups: DataFrame) -> DataFrame:
     """Distinct N级组 numbers of an event from weak to strong, null when fewer than two."""
-    n = F.regexp_extract(text("group_name"), r"(\d+)\s*级组", 1).try_cast("int")
+    n = F.regexp_extract(text("group_name"), rf"(\d+){WS}*级组", 1).try_cast("int")
     return event_groups.select("event_id", n.alias("n")).distinct().groupBy("event_id") \
         .agg(F.sort_array(F.collect_set("n"), asc=False).alias("ladder")) \
         .withColumn("ladder", F.when(F.size("ladder") >= 2, F.col("ladder")))

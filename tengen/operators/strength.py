@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import level_label
 from ..functions.numbers import clamp, record_score
-from ..functions.text import text
+from ..functions.text import WS, text
 from ..session import stage
 from . import rating as R
 from .games import games_of_groups
@@ -60,14 +60,16 @@ def recent_n_per_player(rows: DataFrame, n: int = RECENT_N) -> DataFrame:
     return rows.withColumn("recency", F.row_number().over(w)).filter(F.col("recency") <= n)
 
 
-def target_rows(rows: DataFrame, province=None, recent_n: int = RECENT_N) -> DataFrame:
-    return recent_n_per_player(namesake_split(rows, province).filter(~F.col("removed")), recent_n)
+def target_rows(rows: DataFrame, province=None, recent_n: int | None = None) -> DataFrame:
+    """All kept entries; with recent_n, only the newest ones of each name."""
+    kept = namesake_split(rows, province).filter(~F.col("removed"))
+    return kept if recent_n is None else recent_n_per_player(kept, recent_n)
 
 
 def strength_entries(targets: DataFrame, rated: DataFrame, own: DataFrame) -> DataFrame:
     """Usable target rows with weight and rating (before and after the skill anchor).
 
-    At most recent_n rows per name are left here, so windows by name are small.
+    The anchor is summed per name map-side and joined back, so a name with many entries needs no window.
     """
     r = rated.select("group_id", "participant_id", F.col("rating").alias("node_rating"))
     o = own.select("group_id", "participant_id", "own_games")
@@ -80,11 +82,9 @@ def strength_entries(targets: DataFrame, rated: DataFrame, own: DataFrame) -> Da
                      * F.col("event_weight") * quality) \
         .withColumn("first_rating", F.when(F.col("is_age_group"), F.least(rating, F.lit(R.AGE_CAP))).otherwise(rating)) \
         .withColumn("record_score", record_score())
-    w = Window.partitionBy("participant_name")
-    skill = ~F.col("is_age_group")
-    anchor = F.sum(F.when(skill, F.col("first_rating") * F.col("weight"))).over(w) \
-        / F.sum(F.when(skill, F.col("weight"))).over(w)
-    e = e.withColumn("anchor", anchor)
+    anchors = e.filter(~F.col("is_age_group")).groupBy("participant_name").agg(
+        (F.sum(F.col("first_rating") * F.col("weight")) / F.sum("weight")).alias("anchor"))
+    e = e.join(anchors, "participant_name", "left")
     raised = F.greatest("first_rating", F.least(F.lit(R.AGE_CAP), F.col("anchor") - 0.05))
     return e.withColumn("rating", F.when(
         F.col("anchor").isNotNull() & F.col("is_age_group") & (F.col("record_score") >= 0.5), raised)
@@ -107,8 +107,8 @@ def name_totals(entries: DataFrame) -> DataFrame:
     """Sums per player that all later steps need, in one aggregation."""
     age, score, n = F.col("is_age_group"), F.col("record_score"), F.col("rounds")
     strong = age & (score >= 0.75) & (n >= 7)
-    proof = ~age & F.coalesce(F.col("group_name").rlike(r"5\s*段"), F.lit(False)) & (score >= 0.5) & (n >= 5)
-    five = F.col("is_open") | (F.col("rating") >= 30.1) | F.coalesce(F.col("org").rlike(r"5\s*段"), F.lit(False))
+    proof = ~age & F.coalesce(F.col("group_name").rlike(f"5{WS}*段"), F.lit(False)) & (score >= 0.5) & (n >= 5)
+    five = F.col("is_open") | (F.col("rating") >= 30.1) | F.coalesce(F.col("org").rlike(f"5{WS}*段"), F.lit(False))
     return with_elite_bonus(entries.groupBy("participant_name").agg(
         F.count(F.lit(1)).alias("events"), F.sum("rounds").alias("rounds"), F.sum("own_games").alias("match_games"),
         (F.sum(F.col("rating") * F.col("weight")) / F.sum("weight")).alias("l_mean"),
@@ -121,7 +121,7 @@ def name_totals(entries: DataFrame) -> DataFrame:
 class StrengthRun:
     """One estimation over a window: shared steps are stored once, results read them."""
 
-    def __init__(self, participants, events, matches, as_of: str, province=None, recent_n: int = RECENT_N,
+    def __init__(self, participants, events, matches, as_of: str, province=None, recent_n: int | None = None,
                  passes: int = R.PASSES):
         self.participants, self.events, self.matches = participants, events, matches
         self.as_of, self.province, self.recent_n, self.passes = as_of, province, recent_n, passes

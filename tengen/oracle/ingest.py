@@ -97,8 +97,7 @@ O["replace_participants"] = with_tables("""select * from fx_participants
 _M = "group_id, bout, p1_id, p2_id, p1_name, p2_name, p1_org, p2_org, p1_result, p2_result, p1_score, p2_score"
 O["replace_matches"] = with_tables(f"""select {_M}, updated_at from fx_matches where group_id not in (select group_id from batch)
   union all select {_M}, cast(5000 as bigint) from batch""", {
-    **_CTE_M, "batch": """select * from landed where bout <= 7
-      and group_id not in (select group_id from fx_match_status where last_error <> '')"""})
+    **_CTE_M, "batch": """select * from landed where group_id not in (select group_id from fx_match_status where last_error <> '')"""})
 
 O["match_status_upsert"] = with_tables("""select group_id, cast(max(bout) as int) as rounds, cast(5000 as bigint) as updated_at,
   '' as last_error from fx_matches group by group_id
@@ -128,7 +127,7 @@ O["notice_upsert"] = with_tables(f"""select n.event_id,
   case when f.event_id is not null then f.err else n.last_error end as last_error
   from fx_notices n left join (select p.event_id, {_PAYLOAD} as txt,
       case when e.event_key % 256 = 0 then 'HTTP 502' else '' end as err
-    from fx_payload_notices p join fx_events e on e.event_id = p.event_id where e.event_key % 64 = 0) f
+    from fx_payload_notices p join fx_events e on e.event_id = p.event_id) f
   on f.event_id = n.event_id""")
 
 O["jsonp_rows"] = with_tables("""select event_id, group_id, chunk, status,

@@ -62,12 +62,11 @@ O["event_live_rollup"] = with_tables(_ROLL)
 O["live_order"] = with_tables(f"select event_id, status_order, date from ({_ROLL})")
 
 _PROG = {
-    "given": f"""select g.group_id, coalesce(nullif(s.rounds, 0), case when g.n1 * 2 <= 8 then 5
-        when g.n1 * 2 <= 32 then 7 else 9 end) as total
-      from (select group_id, count(*) filter (bout = 1) as n1 from fx_matches group by group_id) g
-      left join fx_match_status s on s.group_id = g.group_id""",
-    "inside": f"""select m.*, t.total, {PLAYED} as played from fx_matches m join given t on t.group_id = m.group_id
-      where m.bout <= t.total""",
+    "given": """select g.group_id, greatest(g.top, coalesce(a.n, 0)) as total
+      from (select group_id, max(bout) as top from fx_matches group by group_id) g
+      left join (select group_id, max(try_cast(nullif(regexp_extract(payload, '"total_bout": *"?([0-9]+)', 1), '') as int)) as n
+        from fx_payload_matches group by group_id) a on a.group_id = g.group_id""",
+    "inside": f"select m.*, {PLAYED} as played from fx_matches m",
     "progress": """select t.group_id, cast(t.total as int) as total_rounds,
         cast(coalesce(max(b.bout) filter (b.done), 0) as int) as completed_rounds,
         cast(coalesce(max(b.bout), 0) as int) as known_pairing_rounds
@@ -102,7 +101,7 @@ O["scenario_rank_distribution"] = with_tables(f"""select group_id, participant_i
   select *, row_number() over (partition by group_id, participant_id order by n desc, rank) as place from (
     select group_id, participant_id, rank, sims, count(*) as n from sim_ranked group by all)) where place <= 5""", {
     **{k: _STAND[k] for k in ("given", "inside", "progress", "seats")},
-    "sc": """select s.* from fx_scenarios s join given t on t.group_id = s.group_id and s.bout <= t.total""",
+    "sc": "select s.* from fx_scenarios s join given t on t.group_id = s.group_id",
     "runs": "select distinct scenario_id, group_id from sc",
     "sims": "select group_id, count(*) as sims from runs group by group_id",
     "sim_score": """select r.scenario_id, s.group_id, s.participant_id, s.name, s.short_no,

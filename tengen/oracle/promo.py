@@ -2,7 +2,7 @@
 
 from .base import with_tables
 from .ingest import ENRICH_CTE
-from .snippets import has, num, rx, strip, strip_html, uri
+from .snippets import WS, has, num, rx, strip, strip_html, uri
 
 O: dict[str, str] = {}
 
@@ -40,7 +40,7 @@ O["candidate_level"] = with_tables("""select g.group_id, g.group_name, l.kind, l
 
 LADDER = {"ladders": """select event_id, case when len(l) >= 2 then l end as ladder from (
   select event_id, list_sort(list(distinct v) filter (v is not null), 'DESC') as l from (
-    select event_id, try_cast(nullif(regexp_extract(group_name, '([0-9]+)\\s*级组', 1), '') as int) as v from fx_groups)
+    select event_id, try_cast(nullif(regexp_extract(group_name, '([0-9]+)""" + WS + """*级组', 1), '') as int) as v from fx_groups)
   group by event_id)"""}
 O["level_ladder"] = with_tables("select event_id, array_to_string(ladder, ',') as ladder from ladders", LADDER)
 
@@ -88,9 +88,10 @@ FRAGS = {
     "frags": """select event_id, f as fragment, cast(row_number() over (partition by event_id order by i) - 1 as int) as pos
       from loose where strict or any_strict = 0"""}
 O["notice_fragments"] = with_tables("select * from frags", FRAGS)
-_RAW = "regexp_extract(fragment, '([一二两三四五六七八九十]+|[0-9]+)', 1)"
-O["chinese_number"] = with_tables(f"""select event_id, pos, {_RAW} as raw, cast({cn(_RAW)} as bigint) as numeral,
-  cast({steps_of(_RAW)} as bigint) as steps from frags""", FRAGS)
+O["chinese_number"] = with_tables(f"""select event_id, pos, cast(nth as int) as nth, raw, cast({cn('raw')} as bigint) as numeral,
+  cast({steps_of('raw')} as bigint) as steps from (
+    select event_id, pos, unnest(l) as raw, unnest(range(len(l))) as nth from (
+      select event_id, pos, regexp_extract_all(fragment, '[一二两三四五六七八九十]+|[0-9]+') as l from frags))""", FRAGS)
 
 _CUE = "%|晋升|升为|升至|申请|前[0-9]+名|第[0-9]+名|[0-9]+胜"
 MATCH = {

@@ -57,7 +57,8 @@ def uri(x):
 
 
 def china_ms(x):
-    p = r"^[ \t]*([0-9]{4})-([0-9]{2})-([0-9]{2})([ T]([0-9]{2}):([0-9]{2})(:([0-9]{2}))?)?"
+    x = trim(x)
+    p = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})([ T]([0-9]{2}):([0-9]{2})(:([0-9]{2}))?)?"
 
     def part(i):
         return f"coalesce(try_cast(nullif(regexp_extract({x}, '{p}', {i}), '') as bigint), 0)"

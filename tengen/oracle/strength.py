@@ -2,7 +2,7 @@
 
 from ..sources.fixtures import AS_OF, RECENT_N
 from .base import with_tables
-from .snippets import OUTCOME, SIDES, half_up, has, num, trim
+from .snippets import OUTCOME, SIDES, WS, half_up, has, num, trim
 
 O: dict[str, str] = {}
 FROM_DAY = "2000-01-02"
@@ -118,7 +118,7 @@ O["level_label"] = with_tables(f"""select event_id, group_id, participant_id, ca
 # ---- graph model ------------------------------------------------------------
 
 
-def window(day_from, day_to, recent):
+def window(day_from, day_to):
     c = entries("graph", f"min_time >= '{day_from}' and min_time <= '{day_to} 23:59:59'")
     c["stat"] = """select participant_name, count(*) as n, count(base) as k, count(*) filter (base >= 29.7e0) as hi,
       count(*) filter (base <= 27.8e0) as lo, count(distinct nullif(provincename, '')) as pv from rws group by 1"""
@@ -127,13 +127,11 @@ def window(day_from, day_to, recent):
         and r.base <= 27.8e0 and h.participant_name is null, false) as removed
       from rws r join stat s on s.participant_name = r.participant_name
       left join hi_pv h on h.participant_name = r.participant_name and h.provincename = r.provincename"""
-    c["targets"] = f"""select * from (select *, row_number() over (partition by participant_name
-        order by min_time desc, event_id, group_id, participant_id) as recency from split where not removed)
-      where recency <= {recent}"""
+    c["targets"] = "select * from split where not removed"
     return c
 
 
-WIN = window(FROM_DAY, AS_OF, RECENT_N)
+WIN = window(FROM_DAY, AS_OF)
 O["namesake_split"] = with_tables(f"""select event_id, group_id, participant_id, participant_name, provincename,
   {half_up('base')} as base, removed from split""", WIN)
 O["removed_rows"] = with_tables("select event_id, group_id, participant_id, participant_name from split where removed", WIN)
@@ -197,10 +195,10 @@ TOTAL = {**ENTRIES, "tot": """select participant_name, count(*) as events, sum(r
     sum(rating * weight) / sum(weight) as l_mean, count(*) filter (not is_age_group) as skill_events,
     count(*) filter (is_age_group and rs >= 0.75e0 and rounds >= 7) as strong_events,
     count(*) filter (not is_age_group and rs < 5e-1) as weak_skill_events,
-    count(*) filter (not is_age_group and regexp_matches(group_name, '5\\s*段') and rs >= 5e-1 and rounds >= 5) as five_dan_proofs,
+    count(*) filter (not is_age_group and regexp_matches(group_name, '5""" + WS + """*段') and rs >= 5e-1 and rounds >= 5) as five_dan_proofs,
     sum(rs * rounds) filter (is_age_group and rs >= 0.75e0 and rounds >= 7)
       / sum(rounds) filter (is_age_group and rs >= 0.75e0 and rounds >= 7) as strong,
-    count(*) filter (is_open or rating >= 30.1e0 or regexp_matches(org, '5\\s*段')) as evidence
+    count(*) filter (is_open or rating >= 30.1e0 or regexp_matches(org, '5""" + WS + """*段')) as evidence
   from used group by 1""",
          "elite": """select *, case when rounds >= 20 and strong_events >= 2 and weak_skill_events = 0 and five_dan_proofs > 0
       then greatest(l_mean, least(31.18e0, l_mean + 0.28e0 + greatest(0e0, least(0.18e0, strong - 0.75e0))))
@@ -251,7 +249,7 @@ O["unavailable_reason"] = with_tables("""select n.participant_name as name,
       string_agg(distinct group_name, '|' order by group_name) filter (base is not null and group_name <> '') as groups
     from targets group by 1) t on t.participant_name = n.participant_name
   where coalesce(t.ok, 0) = 0""", {k: v.replace(AS_OF, "1995-01-31") for k, v in
-                                   window("1994-08-04", "1995-01-31", RECENT_N).items()})
+                                   window("1994-08-04", "1995-01-31").items()})
 
 # ---- quick model ------------------------------------------------------------
 

@@ -92,7 +92,7 @@ def replace_participants(fx):
 @query
 def replace_matches(fx):
     batch = landed.norm_matches(fx.payload_matches).withColumn("updated_at", F.lit(LOADED_AT).cast("bigint")) \
-        .withColumn("ingest_seq", F.lit(1)).drop("seat").filter(F.col("bout") <= 7)
+        .withColumn("ingest_seq", F.lit(1)).drop("seat")
     failed = fx.match_status.filter(F.col("last_error") != "").select("group_id")
     batch = batch.join(failed, "group_id", "left_anti")
     old = fx.matches.select(*[c for c in batch.columns if c != "ingest_seq"])
@@ -119,7 +119,6 @@ def index_status_upsert(fx):
 def notice_upsert(fx):
     fetched = fx.payload_notices.select("event_id", X.notice_payload_text("payload").alias("notice_text")) \
         .join(fx.events.select("event_id", "event_key"), "event_id") \
-        .filter(F.col("event_key") % 64 == 0) \
         .select("event_id", F.when(F.col("event_key") % 256 == 0, "").otherwise(F.col("notice_text")).alias("notice_text"),
                 F.when(F.col("event_key") % 256 == 0, "HTTP 502").otherwise("").alias("last_error"))
     return upsert.notice_upsert(fx.notices, fetched, AS_OF_MS)
@@ -308,7 +307,7 @@ def h2h_games(fx):
 
 
 def _announced(fx) -> DataFrame:
-    return fx.match_status.select("group_id", F.col("rounds").alias("total_rounds"))
+    return landed.announced_rounds(fx.payload_matches)
 
 
 def _progress(fx) -> DataFrame:
@@ -323,7 +322,7 @@ def opponent_edges(fx):
 
 def _run(fx) -> strength.StrengthRun:
     return fx.shared("strength", lambda: strength.StrengthRun(
-        fx.participants, fx.events, fx.matches, AS_OF, recent_n=RECENT_N))
+        fx.participants, fx.events, fx.matches, AS_OF))
 
 
 @query
@@ -441,7 +440,7 @@ def strength_sets(fx):
 
 @query
 def unavailable_reason(fx):
-    run = strength.StrengthRun(fx.participants, fx.events, fx.matches, EARLY, recent_n=RECENT_N)
+    run = strength.StrengthRun(fx.participants, fx.events, fx.matches, EARLY)
     return strength.unavailable_reason(fx.participants, run.targets, run.entries) \
         .select("name", "reason", *joined("groups"))
 
@@ -687,11 +686,12 @@ def target_by_steps(fx):
 
 @query
 def chinese_number(fx):
-    """Number after 前 / 第 / 胜 in every notice fragment, digits or numerals."""
+    """Every number of every notice fragment, digits or numerals."""
     f = rules.fragment_rows(fx.notices)
-    raw = F.regexp_extract("fragment", r"([一二两三四五六七八九十]+|\d+)", 1)
-    return f.select("event_id", "pos", raw.alias("raw"), N.chinese_number(raw).alias("numeral"),
-                    N.step_count(raw).alias("steps"))
+    found = F.regexp_extract_all("fragment", F.lit(r"([一二两三四五六七八九十]+|\d+)"), F.lit(1))
+    f = f.select("event_id", "pos", F.posexplode(found).alias("nth", "raw"))
+    return f.select("event_id", "pos", "nth", "raw", N.chinese_number("raw").alias("numeral"),
+                    N.step_count("raw").alias("steps"))
 
 
 @query

@@ -91,6 +91,12 @@ def norm_matches(payloads: DataFrame) -> DataFrame:
     ).filter((F.col("p1_id") != "") & (F.col("p2_id") != ""))
 
 
+def announced_rounds(payloads: DataFrame) -> DataFrame:
+    """Rounds a group announces in its round payloads: group_id, total_rounds; groups without a number are missing."""
+    n = F.regexp_extract("payload", r'"total_bout"\s*:\s*"?(\d+)', 1).try_cast("int")
+    return payloads.groupBy("group_id").agg(F.max(n).alias("total_rounds")).filter(F.col("total_rounds") > 0)
+
+
 def ingest_run_report(pages: DataFrame, index_status: DataFrame) -> DataFrame:
     """Counters of a crawl and an index run; the sample holds the first 12 failed pages."""
     rows = F.from_json("payload", "struct<datArr:struct<rows:array<string>>>")["datArr"]["rows"]
