@@ -170,10 +170,8 @@ O["ingest_run_report"] = with_tables("""select a.*, b.*, c.failed_sample from (
     select page, fetch_error from fx_payload_events where fetch_error <> '' order by page limit 12)) c""")
 
 O["stream_upsert_events"] = with_tables("""select event_id, title, min_time, provincename, city_name, cname, play_num,
-  updated_at from (select *, row_number() over (partition by event_id order by
-    case when open then updated_at else 0 end desc, case when open then ingest_seq else -ingest_seq end desc) as rn
-  from (select *, cast(substr(min_time, 1, 10) as date) between date '2000-05-16' and date '2000-07-14' as open
-        from fx_event_updates)) where rn = 1""")
+  updated_at from (select *, row_number() over (partition by event_id order by updated_at desc, ingest_seq desc) as rn
+    from fx_event_updates) where rn = 1""")
 
 O["stream_live_records_table"] = with_tables("""select group_id, pid as participant_id,
   count(*) filter (res = '1') as win, count(*) filter (res = '2') as lose,

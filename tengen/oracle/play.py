@@ -96,6 +96,16 @@ O["standings"] = with_tables("select * exclude (display_order) from ranked", _ST
 O["standing_rank"] = with_tables("""select group_id, participant_id, total_score, score, rank, display_order
   from ranked""", _STAND)
 
+_SCORED_GAMES = """(select group_id, pid, sum(sc) as sc from (
+    select group_id, p1_id as pid, p1_score as sc from {0} union all select group_id, p2_id, p2_score from {0}) group by all)"""
+O["stream_standings"] = with_tables("select * exclude (display_order) from ranked", {
+    **{k: v for k, v in _STAND.items() if k in _PROG},
+    "decided": "select * from inside where played",
+    "seats": f"""select p.group_id, p.participant_id, participant_name as name, org, short_no, coalesce(g.sc, 0) as sc,
+        win, lose, draw, rank as cloud_rank from fx_participants p
+      left join {_SCORED_GAMES.format('decided')} g on g.group_id = p.group_id and g.pid = p.participant_id""",
+    **{k: v for k, v in _STAND.items() if k not in _PROG and k != "seats"}})
+
 O["scenario_rank_distribution"] = with_tables(f"""select group_id, participant_id, rank, n as count, sims as simulations,
   {half_up('n / sims')} as probability, cast(place as int) as place from (
   select *, row_number() over (partition by group_id, participant_id order by n desc, rank) as place from (

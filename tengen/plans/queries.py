@@ -779,9 +779,18 @@ def explicit_rule_flag(fx):
 
 @query
 def stream_upsert_events(fx):
-    return stream_upsert.run_fixture(fx, AS_OF)
+    return stream_upsert.run_fixture(fx)
 
 
 @query
 def stream_live_records_table(fx):
     return live_records.run_fixture(fx)
+
+
+@query
+def stream_standings(fx):
+    """Group tables from the streamed games alone: scores, opponents and rounds."""
+    found = stage(live_records.run_games(fx), "stream-games")
+    now = live_records.records(found.filter(N.is_played()))
+    progress = stage(live.round_progress(found, _announced(fx)), "stream-progress")
+    return rnd(live_records.current_standings(now, fx.participants, found, progress).drop("display_order"))

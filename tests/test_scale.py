@@ -97,17 +97,52 @@ def test_candidate_limit_keeps_newest(fx):
 
 
 def test_streams_in_many_batches_equal_one_batch(fx):
-    a = stream_upsert.run_fixture(fx, "2000-06-30")
-    b = stream_upsert.run_fixture(fx, "2000-06-30", files_per_trigger=1)
+    a = stream_upsert.run_fixture(fx)
+    b = stream_upsert.run_fixture(fx, files_per_trigger=1, compacted=True)
     assert a.count() == 47 and a.exceptAll(b).count() == 0
+    newest = upsert.latest_events(fx.event_updates).select(*a.columns)
+    assert a.exceptAll(newest).count() == 0 and newest.exceptAll(a).count() == 0
     c, d = live_records.run_fixture(fx), live_records.run_fixture(fx, files_per_trigger=3)
     assert c.count() == d.count() and c.exceptAll(d).count() == 0
 
 
-def test_bucketed_write(fx, tmp_path):
-    path = str(tmp_path / "p")
-    upsert.write_by_bucket(fx.participants, path, "event_id", 4)
-    assert fx.spark.read.parquet(path).count() == 6000
-    one = fx.participants.filter(F.col("event_id") == "0")
-    upsert.write_by_bucket(one, path, "event_id", 4)
-    assert 0 < fx.spark.read.parquet(path).count() < 6000
+def test_event_resolution_is_associative_when_dates_move(spark):
+    v = [("e", "2000-06-01", 1, 1), ("e", "1990-01-01", 2, 2), ("e", "2030-01-01", 3, 3), ("f", "2000-06-01", 5, 1)]
+    df = spark.createDataFrame(v, "event_id string, min_time string, updated_at long, ingest_seq int")
+    want = {"e": "2030-01-01", "f": "2000-06-01"}
+    for cut in (0, 1, 2, 3):
+        first, rest = df.filter(F.col("updated_at") <= cut), df.filter(F.col("updated_at") > cut)
+        both = stream_upsert.resolve(stream_upsert.resolve(first).unionByName(stream_upsert.resolve(rest)))
+        assert {r["event_id"]: r["min_time"] for r in both.collect()} == want
+
+
+def test_no_game_is_dropped(fx):
+    from tengen.plans.queries import _announced
+    progress = live.round_progress(fx.matches, _announced(fx))
+    over = fx.matches.join(progress, "group_id").filter(F.col("bout") > F.col("total_rounds"))
+    assert over.count() == 0 and progress.count() == fx.matches.select("group_id").distinct().count()
+
+
+def test_equal_totals_spread_over_tasks(spark):
+    df = spark.range(20000).select(F.lit("g").alias("group_id"), F.col("id").cast("string").alias("participant_id"),
+                                   F.lit("n").alias("name"), F.lit("").alias("short_no"), F.lit(1.0).alias("total_score"),
+                                   F.lit(1.0).alias("score"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = live.standing_rank(df, ["group_id"])
+        assert out.agg(F.count_distinct("display_order"), F.max("display_order"), F.max("rank")).first()[:] == (20000, 20000, 1)
+        assert out.select(F.spark_partition_id().alias("t")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_stored_replacement_keeps_other_owners(fx, tmp_path):
+    path, spark, rows = str(tmp_path / "s"), fx.spark, fx.participants
+    upsert.write_store(rows, path, "event_id", 4)
+    one = rows.filter(F.col("event_id") == rows.first()["event_id"])
+    batch = one.limit(2).withColumn("org", F.lit("new")).withColumn("ingest_seq", F.lit(1))
+    upsert.apply_replacement(spark, path, rows.schema, batch, "event_id", ["event_id", "group_id", "participant_id"], [F.col("ingest_seq")])
+    got = upsert.read_store(spark, path, rows.schema)
+    want = upsert.replace_participants(rows, batch)
+    assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).count() == 0
+    assert got.filter(F.col("org") == "new").count() == 2
