@@ -133,7 +133,8 @@ def external_evidence(evidence: DataFrame, name=None, province=None, date_from=N
         "name", "event_id", "title", "date", "province", "city", "organizer", "group_name",
         F.lit(0).alias("rank"), F.lit(0).alias("group_size"), none.alias("win"), none.alias("lose"),
         none.alias("draw"), F.lit("").alias("score"), "promoted_to", F.lit("高").alias("confidence"),
-        F.lit("").alias("basis"), F.lit("").alias("rule_text"), "source", F.lit("").alias("detail_url"),
+        F.lit("").alias("basis"), F.lit("").alias("rule_text"), "source",
+        (text("detail_url") if "detail_url" in evidence.columns else F.lit("")).alias("detail_url"),
         F.lit("").alias("group_id"), F.lit("").alias("participant_id"), F.col("date").alias("min_time"),
         F.lit(1).alias("external"))
 
@@ -178,10 +179,21 @@ def promotion_history(decided: DataFrame, evidence: DataFrame, name=None, provin
                       date_to=None) -> DataFrame:
     """Every promotion of every player (or one), after removal of repeats and steps back.
 
-    decided: all levelled entries of the scope, from decide().
+    decided: levelled entries, from decide(). The scope holds for decided and for published promotions alike; entries outside
+    it still serve as later evidence.
     """
+    if name is not None:
+        decided = decided.filter(F.col("participant_name") == name)
     items = evidence_union(decided, evidence, name=name, province=province, date_from=date_from,
                            date_to=at_day_end(date_to))
+    own = F.lit(True)
+    if province and province != ALL:
+        own = own & (F.col("province") == province)
+    if date_from:
+        own = own & (F.col("min_time") >= date_from)
+    if date_to:
+        own = own & (F.col("min_time") <= at_day_end(date_to))
+    items = items.filter((F.col("external") == 1) | own)
     out = monotone_sequence(dedupe_first(items)).drop("min_time", "external")
     return out if name is None else out.orderBy(F.desc("date"), "event_id")
 

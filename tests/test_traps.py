@@ -116,3 +116,18 @@ def test_repeat_opponent_counts_per_game(spark):
                               "opponent string, result string")
     row = games.h2h_adjustment(s, games.opponent_record(s)).collect()[0]
     assert (row["h2h_games"], row["h2h_opponents"], row["h2h_adj"]) == (4, 1, 0.8)
+
+
+def test_scope_holds_for_decided_and_published_promotions(fx):
+    from pyspark.sql import functions as F
+
+    from tengen.operators import promotion
+    from tengen.plans.queries import _decided
+    decided, evidence = _decided(fx), fx.evidence
+    every = promotion.promotion_history(decided, evidence)
+    name = every.groupBy("name").count().orderBy(F.desc("count"), "name").first()["name"]
+    one = promotion.promotion_history(decided, evidence, name=name)
+    assert one.count() == every.filter(F.col("name") == name).count() > 0
+    assert one.filter(F.col("name") != name).count() == 0
+    early = promotion.promotion_history(decided, evidence, date_to="1995-12-31")
+    assert early.filter(F.col("date") > "1995-12-31").count() == 0
