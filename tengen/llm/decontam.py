@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, take_columns, texts_of
+from .common import pieces, stage, table, take_columns, texts_of
 
 RANK, EXTRA = 96, 32
 MIN_COSINE = 0.3
@@ -34,7 +34,7 @@ MIN_LCS, FEWER_LCS, MIN_ANSWER, MIN_WEIGHT = 0.75, 0.5, 0.6, 0.5
 ANSWER_SHARE = 0.2
 ITEMS_AT_ONCE = 5000
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-ROWS = 20_000  # passages multiplied at once
+ROWS = 2000  # passages multiplied at once
 SCHEMA = "doc_id long, item_id long, cosine double, lcs int, item_words int, answer_words int"
 
 
@@ -66,7 +66,7 @@ def sequences(docs: DataFrame, items: Broadcast) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it: Items = items.value
         get, df = it.number.get, np.zeros(len(it.number) + 1, np.int64)
-        for batch in batches:
+        for batch in pieces(batches):
             ids, out = [], []
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 words = words_of(text)
@@ -218,7 +218,7 @@ def matches(seqs: DataFrame, items: Broadcast, idf: np.ndarray, space: np.ndarra
             own.add(u, (1 + np.log(c)) * weight[u])
         unit = own.times(axes)
         unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-12)
-        for batch in batches:
+        for batch in pieces(batches):
             out: dict[tuple[int, int], tuple] = {}
             rows, seqs_here = Rows(), []
             docs = batch.column(0).to_pylist()
@@ -250,7 +250,7 @@ def matches(seqs: DataFrame, items: Broadcast, idf: np.ndarray, space: np.ndarra
                 for a, b, w, v in tf_idf(seqs_here[-1], it.window, weight):
                     if weight[w].sum() >= MIN_WEIGHT * mass.min():
                         rows.add(w, v, (n, a, b))
-                if len(rows.sizes) >= ROWS // 10:
+                if len(rows.sizes) >= ROWS:
                     take()
             take()
             hits = [(docs[n], it.ids[i], *v) for (n, i), v in out.items()]
