@@ -6,6 +6,7 @@ import os
 import tempfile
 import unicodedata
 import zipfile
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import stage
 
-__all__ = ["stage", "table", "ship", "row_totals", "components", "decode", "char_classes", "texts_of", "take_columns"]
+__all__ = ["stage", "table", "ship", "row_totals", "components", "decode", "char_classes", "pieces", "texts_of", "take_columns"]
 
 _shipped: set[str] = set()
 
@@ -102,6 +103,13 @@ def decode(data: bytes) -> np.ndarray:
     return np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut to so many rows, which bounds what a Python worker holds at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [t or "" for t in column.to_pylist()]

@@ -4,8 +4,8 @@ A document's set holds the distinct shingles of its words. Rows with equal sets
 joined. Sets are ordered by one order of all shingles (often-seen ones last, then by hash), so two linked sets share a
 shingle among the first few of each. Index lists hold, by shingle, the sets that have it there, with size and position.
 
-1. Answers of similar sets: in each list every set is first compared with the list's smallest set of its own size band.
-   Linked sets share one answer from then on, their component, and are never compared with each other again.
+1. Answers of similar sets: in each list every set is first compared with a few single sets of its list. Linked sets share one
+   answer from then on, their component, and are never compared with each other again.
 2. Block skipping: lists that still hold several components are cut into blocks by size band and position. A probe skips a
    block when sizes, positions or a shared component rule all of it out; inside the rest it meets only sets of other
    components that pass the size and position bounds. Blocks are salted so that none grows with the list.
@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stage, table, take_columns
+from .common import components, pieces, stage, table, take_columns
 
 SHINGLE, PERCENT = 4, 85
 SLICE = 2 << 20
 OFTEN, OFTEN_MAX = 16, 500_000  # shingles in more documents go last in the order; at most so many are broadcast
 BLOCK = 64
+ROUNDS = 2  # comparisons with one set of each list before all components of a list are compared
 BROADCAST_IDS = 1_000_000  # ids of candidate documents; beyond, they are joined by a shuffle
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
@@ -79,6 +80,19 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX[3])
 
 
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of lower-cased texts, one after the other, and where each text begins among them."""
+    hashes, edge, at = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    while at < len(texts):
+        sizes = np.cumsum([len(t) + 1 for t in texts[at:at + 4096]])
+        upto = at + max(1, int(np.searchsorted(sizes, SLICE)))
+        starts, words = word_hashes(b"\n".join(texts[at:upto]))
+        edge.append(edge[-1][-1] + np.searchsorted(starts, sizes[:upto - at]))
+        hashes.append(words)
+        at = upto
+    return np.concatenate(hashes), np.concatenate(edge)
+
+
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes (as signed longs) of each text."""
     at = 0
@@ -112,10 +126,10 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 def often_seen(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents hold, with counts; only the order of shingles depends on them, no result."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2500):
             sets = list(shingle_sets(raw_texts(batch.column(0)), k))
             seen, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_counts=True)
-            keep = count >= 4
+            keep = count >= 3
             yield pa.RecordBatch.from_arrays([pa.array(seen[keep]), pa.array(count[keep])], names=["token", "n"])
 
     rows = (docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -131,7 +145,7 @@ def index_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts = often.value
-        for batch in batches:
+        for batch in pieces(batches):
             n, digest, prefix = [], [], []
             for s in shingle_sets(raw_texts(batch.column(1)), k):
                 n.append(len(s))
@@ -159,7 +173,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             sets = list(shingle_sets(raw_texts(batch.column(1)), k))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in sets])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
@@ -193,22 +207,33 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     shared = entries.groupBy("token").count().where("count > 1").withColumnRenamed("count", "size")
     lists = stage(entries.join(shared, "token"), "near-lists")
 
-    # 1. each set with the smallest set of its list, in its own and the next lower band
-    first = lists.groupBy("token", "band").agg(F.min(F.struct("n", "d", "p")).alias("f"))
-    pivots = first.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band"),
-                          F.col("f.d").alias("a"), F.col("f.n").alias("na"), F.col("f.p").alias("pa"))
-    star = (lists.select("token", "band", F.col("d").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-            .join(pivots, ["token", "band"]).where("a <> b").where(within_bounds(percent))
-            .select("a", "b", "na", "nb").distinct())
-    tried = stage(star, "near-pairs")
-    links = verify(docs, tried, k, percent)
+    # 1. each set with one set of its list, as long as they lie in different components: first with the set that shares most
+    # lists (the text that copies were made from holds few shingles of its own), then with others in turn
+    degree = lists.groupBy("d").agg(F.count("*").alias("degree"))
+    held = stage(lists.join(degree, "d").withColumn("c", F.col("d")), "near-held")
+    tried = links = None
+    for turn in range(ROUNDS):
+        weight = F.col("degree") if turn == 0 else F.xxhash64("d", F.lit(turn))
+        best = held.groupBy("token", "band").agg(F.max(F.struct(weight.alias("w"), "d", "n", "p", "c")).alias("f"))
+        pivots = best.select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"),
+                             F.struct("f.n", "f.d", "f.p").alias("x"), F.col("f.c").alias("cx"))
+        met = held.join(pivots, ["token", "band"]).where("c <> cx").select("x", F.struct("n", "d", "p").alias("y"))
+        low, high = F.least("x", "y"), F.greatest("x", "y")  # by size, then id
+        pairs = (met.select(low.alias("l"), high.alias("h"))
+                 .select(F.col("l.d").alias("a"), F.col("l.n").alias("na"), F.col("l.p").alias("pa"),
+                         F.col("h.d").alias("b"), F.col("h.n").alias("nb"), F.col("h.p").alias("pb"))
+                 .where(within_bounds(percent)).select("a", "b", "na", "nb").distinct())
+        if turn:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stage(pairs, "near-pairs")
+        new = verify(docs, pairs, k, percent)
+        tried, links = (tried.unionByName(pairs), links.unionByName(new)) if turn else (pairs, new)
+        known = components(links, "near-round").withColumnRenamed("node", "d")
+        held = held.drop("c").join(known, "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
+        mixed = held.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
+        held = stage(held.join(mixed, "token"), "near-held")
 
     # 2. what lists with several components still hold
-    known = components(links, "near-round")
-    held = lists.join(known.withColumnRenamed("node", "d"), "d", "left").withColumn(
-        "c", F.coalesce("component", "d")).drop("component")
-    mixed = held.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
-    held = stage(held.join(mixed, "token"), "near-held")
     salt = F.when(F.col("size") <= BLOCK, 0).otherwise(
         F.pmod(F.xxhash64("d"), F.ceil(F.col("size") / BLOCK))).cast("int")
     blocks = held.groupBy("token", "band", F.floor(8 * F.col("p") / F.col("n")).alias("depth"), salt.alias("salt")).agg(
@@ -220,11 +245,13 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
             | ((F.col("c0") == F.col("ca")) & (F.col("c1") == F.col("ca")))
             | ((100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("n1") - F.col("p0"))
                < percent * (F.col("na") + F.col("n0"))))
-    cross = (probe.join(blocks, ["token", "band"]).where(~skip).select("a", "na", "pa", "ca", F.explode("block").alias("e"))
-             .select("a", "na", "pa", "ca", F.col("e.d").alias("b"), F.col("e.n").alias("nb"), F.col("e.p").alias("pb"),
-                     F.col("e.c").alias("cb"))
-             .where("ca <> cb and (na < nb or (na = nb and a < b))").where(within_bounds(percent))
-             .select("a", "b", "na", "nb").distinct())
+    # a block gives only the entries that may link: other components, within the bounds of size and position
+    may = F.filter("block", lambda e: (e["c"] != F.col("ca"))
+                   & ((F.col("na") < e["n"]) | ((F.col("na") == e["n"]) & (F.col("a") < e["d"])))
+                   & (100 * F.col("na") >= percent * e["n"])
+                   & ((100 + percent) * F.least(F.col("na") - F.col("pa"), e["n"] - e["p"]) >= percent * (F.col("na") + e["n"])))
+    cross = (probe.join(blocks, ["token", "band"]).where(~skip).select("a", "na", F.explode(may).alias("e"))
+             .select("a", F.col("e.d").alias("b"), "na", F.col("e.n").alias("nb")).distinct())
     more = stage(cross.join(tried, ["a", "b"], "left_anti"), "near-pairs")
     links = links.unionByName(verify(docs, more, k, percent))
     found = components(links, "near-round").withColumnRenamed("node", "rep").withColumnRenamed("component", "reached")

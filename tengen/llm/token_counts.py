@@ -25,7 +25,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import SPACE, char_classes, decode, table, take_columns
+from .common import SPACE, char_classes, decode, pieces, table, take_columns
 
 VOCABULARY = "byte_bpe_50k.json"
 LANE = 2048
@@ -278,7 +278,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path)
-        for batch in batches:
+        for batch in pieces(batches, 2500):
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             tokens = count_texts(machine, texts)
             yield pa.RecordBatch.from_arrays(
