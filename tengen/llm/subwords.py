@@ -32,6 +32,7 @@ class Encoder:
         #: the tokenizer drops white space, so that every stretch without it stands alone
         self.drops = not self.tool.encode(" \n", add_special_tokens=False).ids
         self.cache: dict[str | bytes, bytes] = {}
+        self.limit = MAX_PIECES
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes()
@@ -75,7 +76,7 @@ class Encoder:
         for at in range(0, len(texts), 256):
             some = texts[at:at + 256]
             cut = [self.pieces(t) for t in some]
-            if len(self.cache) > MAX_PIECES:
+            if len(self.cache) > self.limit:
                 self.cache.clear()
             new = set().union(*[c for c in cut if c is not None]).difference(self.cache)
             if new:
