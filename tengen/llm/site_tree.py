@@ -7,7 +7,8 @@ host; such branches are removed from each page. Counts are taken over distinct p
 article look like a template, and only nodes met on `MIN_PAGES` pages are judged.
 
 Elements whose tag or class says menu, header, footer, sidebar, notice, advert, form, comment, script or style are removed
-whatever their importance. If a page marks its article (article or main element), only that is read, whole; else its body.
+whatever their importance. A marked article (article or main element) is important by its own markup: it is read whole, and on
+such a page nothing else is. On other pages every branch of the body is judged by the tree.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by an empty line.
 Null or empty html gives an empty text; pages without a host form one site; broken markup is read as far as it goes; repeated
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, take_columns, texts_of
+from .common import pieces, stage, table, take_columns, texts_of
 
 MIN_PAGES = 5
 THRESHOLD = 0.35
@@ -163,15 +164,13 @@ def site_of(url: Column) -> Column:
 def style_tree(pages: DataFrame) -> DataFrame:
     """site, node, importance of every node with texts, met on at least MIN_PAGES distinct pages."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for site, html in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 page, whole = parse(html), hashed(html)
-                if page.marked:  # its article is read whole, so its other branches need no verdict
-                    continue
                 parents = {node: parent for node, _, parent in page.styles}
-                out += [(site, node, 0, hashed(style), whole, 0) for node, style, _ in page.styles]
-                out += [(site, node, 1, hashed(text), whole, parents.get(node, 0)) for text, _, node in page.blocks]
+                out += {(site, node, 0, hashed(style), whole, 0) for node, style, _ in page.styles}
+                out += {(site, node, 1, hashed(text), whole, parents.get(node, 0)) for text, _, node in page.blocks}
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
