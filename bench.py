@@ -22,12 +22,13 @@ HEADLINE = [
     "player_history", "index_coverage", "player_schedule", "h2h_games", "h2h_summary", "promotion_candidates",
     "round_progress", "standings", "scenario_rank_distribution", "event_live_rollup", "player_strength",
     "basic_strength", "promotion_history", "norm_participants", "latest_events", "clean_text",
-    "extract_anchor_groups",
+    "extract_anchor_groups", "h2h_candidates", "later_group_inference", "replace_participants", "replace_matches",
+    "stream_live_records_table", "stream_standings",
 ]
 # stored tables the headline queries read
 TABLES = ["events", "groups", "participants", "matches", "match_status", "index_status", "notices",
           "confirmed_rules", "evidence", "live_groups", "scenarios", "pair_requests", "event_updates",
-          "event_pages", "payload_participants"]
+          "event_pages", "payload_participants", "payload_matches"]
 
 
 def main() -> None:
