@@ -204,15 +204,6 @@ def search_hits(history: DataFrame) -> DataFrame:
     return history.select(*_hit("index"))
 
 
-def nested_hits(hits: DataFrame) -> DataFrame:
-    """The same hits as one event struct and one player struct per row."""
-    return hits.select(
-        "source",
-        F.struct("event_id", "title", "date", "province", "city", "organizer", "detail_url").alias("event"),
-        F.struct("name", F.col("group_name").alias("group"), "org", "win", "lose", "draw", "score", "rank",
-                 "group_id", "participant_id", F.col("player_url").alias("detail_url")).alias("player"))
-
-
 def hits_union(participants, events, index_status, landed_participants, as_of,
                name: str | None = None) -> DataFrame:
     """Indexed hits plus hits found live in the events still to be indexed."""

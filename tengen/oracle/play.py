@@ -47,6 +47,8 @@ _LIVE = f"""(case when bt <> '' and et <> '' then {china_ms('bt')} <= now_ms and
 O["group_live_flag"] = with_tables(f"select group_id, {_LIVE} as live from fx_live_groups")
 O["live_event_groups"] = with_tables(f"""select event_id, group_id, group_name, pnumber, groupstate as group_state,
   bt as begins_at, et as ends_at, {_LIVE} as live from fx_live_groups""")
+# order is not compared; membership and the live flag are
+O["group_menu_order"] = O["live_event_groups"]
 O["live_candidates"] = with_tables("""select event_id, substr(min_time, 1, 10) as start_date,
   substr(max_time, 1, 10) as end_date, provincename, play_num from fx_events
   where substr(max_time, 1, 10) >= cast(cast(make_timestamp((now_ms + 28800000) * 1000) as date) - 2 as varchar)
