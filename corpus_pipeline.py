@@ -27,6 +27,7 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return language.accepted(docs.select(*COLUMNS))
 
 

@@ -19,10 +19,14 @@ from ..session import stage
 __all__ = ["stage", "table", "ship", "row_totals", "components", "decode", "char_classes", "pieces", "texts_of", "take_columns"]
 
 _shipped: set[str] = set()
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver was started from (once per application)."""
+    """Let Python workers import this package wherever the driver was started from (once per application), and send them
+    smaller batches than the default: texts are long, and both sides hold a batch whole."""
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, "2000")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

@@ -126,7 +126,7 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 def often_seen(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents hold, with counts; only the order of shingles depends on them, no result."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2500):
+        for batch in pieces(batches, 2000):
             sets = list(shingle_sets(raw_texts(batch.column(0)), k))
             seen, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_counts=True)
             keep = count >= 3

@@ -30,6 +30,7 @@ from .subwords import encoder
 VOCABULARY, END, WINDOW = "byte_bpe_50k.json", 0, 1024
 ROWS_PER_BATCH = 1000
 STEPS = 400
+PIECES = 700_000  # kept by a worker's encoder here
 
 
 def combinations(lengths: np.ndarray, window: int) -> list[tuple[int, ...]]:
@@ -102,6 +103,7 @@ def tokenised(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
     """row, part, doc_id, doc_tokens, crcs of the whole windows, ids of the remainder."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, tail, step = encoder(path), np.array([end], np.uint32).tobytes(), 4 * window
+        tool.limit = PIECES
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS_PER_BATCH):
                 batch = whole.slice(lo, ROWS_PER_BATCH)
