@@ -35,6 +35,7 @@ SHINGLE, PERCENT = 4, 85
 SLICE = 2 << 20
 OFTEN, OFTEN_MAX = 16, 500_000  # shingles in more documents go last in the order; at most so many are broadcast
 BLOCK = 64
+COUNTED = 3_000_000  # shingles of a task counted at once
 ROUNDS = 2  # comparisons with one set of each list before all components of a list are compared
 BROADCAST_IDS = 1_000_000  # ids of candidate documents; beyond, they are joined by a shuffle
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -126,11 +127,21 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 def often_seen(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents hold, with counts; only the order of shingles depends on them, no result."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 2000):
-            sets = list(shingle_sets(raw_texts(batch.column(0)), k))
-            seen, count = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.int64), return_counts=True)
-            keep = count >= 3
-            yield pa.RecordBatch.from_arrays([pa.array(seen[keep]), pa.array(count[keep])], names=["token", "n"])
+        def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+            seen, count = np.unique(np.concatenate(held), return_counts=True)
+            keep = count >= 2  # a shingle of many documents comes back within a few thousand of them
+            return pa.RecordBatch.from_arrays([pa.array(seen[keep]), pa.array(count[keep])], names=["token", "n"])
+
+        held, size = [], 0
+        for batch in pieces(batches):
+            for s in shingle_sets(raw_texts(batch.column(0)), k):
+                held.append(s)
+                size += len(s)
+                if size >= COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     rows = (docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
             .where(F.col("n") > OFTEN).orderBy(F.desc("n"), "token").limit(OFTEN_MAX).toPandas())
