@@ -138,3 +138,25 @@ def test_longest_common_subsequence():
         for i, j in itertools.product(range(len(a)), range(len(b))):
             table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
         assert decontam.common_subsequence(a, b) == table[-1, -1]
+
+
+def test_decontamination_items_of_all_lengths_and_many(spark, make):
+    rng = np.random.default_rng(6)
+    words = [f"term{i}" for i in range(3000)]
+    draw = lambda n: " ".join(rng.choice(words, n))
+    items = [(i, draw(15 + i % 4)) for i in range(600)] + [(600, draw(400))]
+    docs = [(i, f"{draw(300)} {items[i][1]} {draw(300)}") for i in range(601)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make(docs), bench).collect()}
+    assert got == {(i, i) for i in range(601)}
+
+
+def test_decontamination_hot_item(spark, make):
+    rng = np.random.default_rng(7)
+    filler = lambda n: " ".join(f"fill{x}" for x in rng.integers(0, 5000, n))
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(60 if i == 4 else 20))) for i in range(5)]
+    docs = [(d, f"{filler(65)} {items[0][1]} {filler(65)}" if d < 150 else filler(100)) for d in range(300)]
+    docs += [(400 + d, f"{filler(5)} {items[1][1]}") for d in range(3)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make(docs * 2), bench).collect()}
+    assert got == {(d, 0) for d in range(150)} | {(400 + d, 1) for d in range(3)}
