@@ -6,9 +6,13 @@ holds how its pages render it (the sequence of child tags) and which texts it ca
 host; such branches are removed from each page. Counts are taken over distinct pages, so copies of one page do not make its
 article look like a template, and only nodes met on `MIN_PAGES` pages are judged.
 
-Elements whose tag or class says menu, header, footer, sidebar, notice, advert, form, comment, script or style are removed
-whatever their importance. A marked article (article or main element) is important by its own markup: it is read whole, and on
-such a page nothing else is. On other pages every branch of the body is judged by the tree.
+Every branch is judged by the tree, inside marked articles (article or main element) too. Marks and names are priors:
+
+* Text outside of a marked article that holds at least half of the page's important text loses `OUTSIDE` of its importance;
+  nodes that the tree does not judge have 0.5. A lesser article (a teaser) says nothing about the rest of its page.
+* A class, id or role that names a menu, sidebar, notice, advert, comments or the like, and a form, takes its whole branch out,
+  unless the branch holds most of the important text of the page (of its marked article, if there is such a one).
+* Scripts, styles, controls, hidden elements, and the tags nav, footer, aside and a header outside of an article are not read.
 
 Character references are decoded, white space within a block becomes one space, blocks are joined by an empty line.
 Null or empty html gives an empty text; pages without a host form one site; broken markup is read as far as it goes; repeated
@@ -31,6 +35,7 @@ from .common import pieces, stage, table, take_columns, texts_of
 
 MIN_PAGES = 5
 THRESHOLD = 0.35
+OUTSIDE = 0.4  # taken from the importance of what lies outside of a marked article
 OWN_SHARE = 0.8  # of a node's texts in its importance; the rest is its parent's style
 BROADCAST_ROWS = 200_000
 
@@ -42,7 +47,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
             "h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table "
             "tbody tfoot thead tr ul".split())
-NOISE = set("nav footer aside form script style noscript template iframe svg head button select textarea input menu dialog "
+NOISE = set("nav footer aside script style noscript template iframe svg head button select textarea input menu dialog "
             "title object canvas audio video map".split())
 PARAGRAPH_ENDS = BLOCK - {"option", "optgroup", "legend"}
 #: words in a class, id or role that name what is no article
@@ -60,14 +65,46 @@ class Element:
     node: int
     noise: bool
     main: bool
+    names: tuple[int, ...] = ()  # elements from the root down whose name says they are no article, by number on the page
+    within: bool = False  # such a name inside the marked article
     children: list[str] = field(default_factory=list)
 
 
+@dataclass
+class Block:
+    text: str
+    raw: str
+    paragraph: int  # parts of one paragraph are parted by named elements in it
+    inside: bool  # the marked article
+    node: int
+    names: tuple[int, ...]
+    within: bool
+
+
 @dataclass
 class Page:
-    blocks: list[tuple[str, bool, int]] = field(default_factory=list)  # text, inside the marked article, node
+    blocks: list[Block] = field(default_factory=list)
     styles: list[tuple[int, str, int]] = field(default_factory=list)  # node, child tags, parent's node
-    marked: bool = False
+
+    def text(self, low: set[int], high: set[int]) -> str:
+        """Blocks that stay, given the nodes of the site under THRESHOLD, and those at least OUTSIDE over it."""
+        blocks = [b for b in self.blocks if b.node not in low]
+        core = [b for b in blocks if b.inside and not b.within]
+        rest = sum(len(b.text) for b in blocks if not b.inside and not b.names)
+        size = sum(len(b.text) for b in core)
+        marked = size > 0 and size >= rest
+        if not marked:
+            core, size = blocks, sum(len(b.text) for b in blocks)
+        held: dict[int, int] = {}
+        for b in core:
+            for n in b.names:
+                held[n] = held.get(n, 0) + len(b.text)
+        whole = {n for n, held_here in held.items() if 2 * held_here > size}
+        paragraphs: dict[int, list[str]] = {}
+        for b in blocks:
+            if whole.issuperset(b.names) and (b.inside or not marked or b.node in high):
+                paragraphs.setdefault(b.paragraph, []).append(b.raw)
+        return "\n\n".join(" ".join("".join(p).split()) for p in paragraphs.values())
 
 
 def hashed(*parts: object) -> int:
@@ -78,13 +115,20 @@ def parse(html: str) -> Page:
     page = Page()
     stack = [Element("", 0, False, False)]
     words: list[str] = []
-    where = (False, 0)
+    where: tuple = ()
+    named = paragraph = 0
 
-    def flush() -> None:
-        text = " ".join("".join(words).split())
+    def part() -> None:
+        raw = "".join(words)
+        text = " ".join(raw.split())
         words.clear()
         if text:
-            page.blocks.append((text, *where))
+            page.blocks.append(Block(text, raw, paragraph, *where))
+
+    def flush() -> None:
+        nonlocal paragraph
+        part()
+        paragraph += 1
 
     def close(upto: int) -> None:
         while len(stack) > upto:
@@ -93,6 +137,8 @@ def parse(html: str) -> Page:
                 page.styles.append((e.node, ",".join(e.children), stack[-1].node))
             if e.tag in BLOCK:
                 flush()
+            elif e.names != stack[-1].names:
+                part()
 
     for m in TOKEN.finditer(html):
         tag = m.group(3)
@@ -101,8 +147,8 @@ def parse(html: str) -> Page:
             top = stack[-1]
             if token[0] != "<" or token == "<":
                 if not top.noise:
-                    if not words:
-                        where = (top.main, top.node)
+                    if not words or words == [" "]:
+                        where = (top.main, top.node, top.names, top.within)
                     words.append(entities.unescape(token) if "&" in token else token)
             continue
         tag = tag.lower()
@@ -136,22 +182,28 @@ def parse(html: str) -> Page:
                 words.append(" ")
             continue
         noise, main, mark = top.noise or tag in NOISE, top.main or tag in ("article", "main"), ""
+        other = tag == "form"
         if m.group(4).strip():
             found = {a.lower(): b or c or d for a, b, c, d in ATTRIBUTE.findall(m.group(4))}
             mark = f"{found.get('class', '')}#{found.get('id', '')}"
             if tag not in ("html", "body", "article", "main"):
-                names = set(SPLIT.split(f"{mark} {found.get('role', '')}".lower()))
-                noise = noise or bool(names & NOISE_WORDS) or (bool(names & WEAK_WORDS) and not main) or (
+                said = set(SPLIT.split(f"{mark} {found.get('role', '')}".lower()))
+                other = other or bool(said & NOISE_WORDS) or (bool(said & WEAK_WORDS) and not main)
+                noise = noise or (
                     "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower())
             main = main or found.get("role", "") == "main"
         noise = noise or (tag == "header" and not top.main)
-        page.marked = page.marked or (main and not noise)
+        names, within = top.names, top.within
+        if other and not noise:
+            named += 1
+            names, within = (*names, named), within or top.main
+            part()
         if tag in BLOCK:
             flush()
         elif tag in ("td", "th"):
             words.append(" ")
         top.children.append(tag)
-        stack.append(Element(tag, hashed(top.node, tag, mark), noise, main))
+        stack.append(Element(tag, hashed(top.node, tag, mark), noise, main, names, within))
     close(1)
     flush()
     return page
@@ -170,7 +222,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
                 page, whole = parse(html), hashed(html)
                 parents = {node: parent for node, _, parent in page.styles}
                 out += {(site, node, 0, hashed(style), whole, 0) for node, style, _ in page.styles}
-                out += {(site, node, 1, hashed(text), whole, parents.get(node, 0)) for text, _, node in page.blocks}
+                out += {(site, b.node, 1, hashed(b.text), whole, parents.get(b.node, 0)) for b in page.blocks}
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
@@ -199,19 +251,20 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, url, text, n_chars for every row of `pages` (page_id, url, html)."""
     pages = take_columns(pages, "page_id", "url", "html").withColumn("site", site_of(F.col("url")))
-    low = (style_tree(pages).where(F.col("importance") < threshold)
-           .groupBy("site").agg(F.collect_set("node").alias("low")))  # presentations of one site's templates
-    low = stage(low, "style-low")
-    small = (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_ROWS
-    rows = pages.join(F.broadcast(low) if small else low, "site", "left").select("page_id", "url", "html", "low")
+    judged, high = style_tree(pages), threshold + OUTSIDE
+    # presentations of one site's templates, and those whose texts are nearly all their own
+    sides = (judged.where((F.col("importance") < threshold) | (F.col("importance") >= high)).groupBy("site")
+             .agg(F.collect_set(F.when(F.col("importance") < threshold, F.col("node"))).alias("low"),
+                  F.collect_set(F.when(F.col("importance") >= high, F.col("node"))).alias("high")))
+    sides = stage(sides, "style-low")
+    small = (sides.agg(F.sum(F.size("low") + F.size("high"))).first()[0] or 0) <= BROADCAST_ROWS
+    rows = pages.join(F.broadcast(sides) if small else sides, "site", "left").select("page_id", "url", "html", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for html, drop in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                page, drop = parse(html), set(drop or ())
-                out.append("\n\n".join(t for t, inside, node in page.blocks
-                                       if (inside if page.marked else node not in drop)))
+            lists = (batch.column(3).to_pylist(), batch.column(4).to_pylist())
+            out = [parse(html).text(set(low or ()), set(high or ()))
+                   for html, low, high in zip(texts_of(batch.column(2)), *lists, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])

@@ -141,3 +141,20 @@ def test_windows_score_each_token_once():
     assert np.allclose(attention_lm.score(model, texts), want, rtol=1e-4)
     longer = attention_lm.score(model, [np.array([7]), np.array([7, 7])])
     assert longer[1] < longer[0]
+
+
+def test_page_text_of_marked_pages(spark):
+    from tengen.llm.common import ship
+    ship(spark)
+    share = "<div class=zz>Tell your friends about us</div>"
+    rows = [(i, f"http://m.org/{i}", f"<body><div class=top>Home</div><main>{share}<p>story {i} is {i * 7}</main><div class=own>Blurb {i * 3}</div>"
+             f"<div class=low>Same</div></body>") for i in range(12)]
+    rows += [(100, "http://t.org/1", "<body><div class=story><p>" + "long text " * 40 + "</div><article>Teaser</article></body>"),
+             (101, "http://w.org/1", "<body><div class='layout with-sidebar'><article><p>the article<div class=comments>bad bad bad bad bad</div></article>"
+              "<div class=sidebar>bad</div></div></body>"),
+             (102, "http://w.org/2", "<body><form><p>the text <span class=share>bad</span>of the page</p><div class=ad>bad</div></form></body>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_tree.extract(df).collect()}
+    assert all(got[i] == f"story {i} is {i * 7}\n\nBlurb {i * 3}" for i in range(12))
+    assert got[100] == ("long text " * 40).strip() + "\n\nTeaser"
+    assert got[101] == "the article" and got[102] == "the text of the page"
