@@ -4,7 +4,7 @@ Every stage works on all rows its predecessor kept, is written as Parquet to the
 next one. All but the last return the columns of `documents`:
 
 * language_id: documents in no language the model is sure of go;
-* near_duplicates: of each group of linked documents the one with the smallest id stays, one row of it; documents without
+* near_duplicates: of each group of linked documents (word shingles of five, Jaccard 0.8 at least) the one with the smallest id stays, one row of it; documents without
   words link with nothing and stay; a null doc_id stays;
 * decontamination: documents that hold a benchmark item go;
 * secret_scan: every document stays, secrets in its text are masked and n_chars follows;
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tengen.llm import decontam, language, near_join, packing, secrets
 from tengen.llm.common import ship, stage, table
 
+WORDS, PERCENT = 5, 80  # near duplicates of the stage; op4 has limits of its own
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL expresses neither the models nor the tokenizer; the stages are tested against brute-force versions
 ORACLE_SQL = None
@@ -33,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = near_join.near_components(docs)
+    found = near_join.near_components(docs, WORDS, PERCENT)
     keep = stage(found.where("component_id = doc_id").select("doc_id").distinct(), "pipeline-keep")
     copies = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     kept = docs.join(keep, "doc_id", "left_semi")

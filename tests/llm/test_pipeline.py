@@ -49,3 +49,13 @@ def test_run(spark):
     out = cp.run(spark, SMALL)
     total = out.groupBy("sequence_id").agg({"length": "sum"}).collect()
     assert sum(r[1] < 1024 for r in total) <= 1 and max(r[1] for r in total) <= 1024
+
+
+def test_near_duplicates_of_five_words_and_a_fifth(spark):
+    base = [f"b{i}" for i in range(120)]
+    rows = [(i, " ".join([*base, *(f"a{i}_{k}" for k in range(more))]), "en", "s", 1) for i, more in enumerate((0, 22, 27, 34, 60))]
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for _, t, *_ in rows]
+    alike = [len(sets[0] & s) / len(sets[0] | s) for s in sets]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in cp.near_duplicates(spark, docs, SMALL).collect()}
+    assert kept == {0} | {i for i, x in enumerate(alike) if x < 0.8} == {0, 3, 4}
