@@ -158,3 +158,14 @@ def test_page_text_of_marked_pages(spark):
     assert all(got[i] == f"story {i} is {i * 7}\n\nBlurb {i * 3}" for i in range(12))
     assert got[100] == ("long text " * 40).strip() + "\n\nTeaser"
     assert got[101] == "the article" and got[102] == "the text of the page"
+
+
+def test_language_model_learns_from_every_token(monkeypatch):
+    seen = []
+    rng = np.random.default_rng(9)
+    sequences = [rng.integers(1, 100, n).astype(np.int32) for n in (1, 30, 500, 0)]
+    monkeypatch.setattr(attention_lm, "descend", lambda w, stream, starts, done, upto: seen.append((stream, starts)) or w)
+    for turn in range(attention_lm.ROUNDS):
+        attention_lm.go_on({}, sequences, turn, 1)
+    targets = {int(a) + k + 1 for _, starts in seen for s in starts for a in s for k in range(attention_lm.CONTEXT)}
+    assert targets == set(range(1, len(seen[0][0])))
