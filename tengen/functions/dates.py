@@ -28,16 +28,16 @@ DATE_TIME = r"^(\d{4})-(\d{2})-(\d{2})(?:[ T](\d{2}):(\d{2})(?::(\d{2}))?)?"
 
 def china_time_ms(c) -> Column:
     """UTC+8 wall-clock text to epoch milliseconds; the time part is optional."""
-    pat = DATE_TIME
     src = trim_ws(text(c))
-    part = [F.coalesce(F.regexp_extract(src, pat, i).try_cast("int"), F.lit(0)) for i in range(1, 7)]
-    y, mo, d, h, mi, s = part
+    # one match gives all parts; those that are missing come out empty
+    parts = F.split(F.regexp_replace(src, f"(?s){DATE_TIME}.*$", "$1,$2,$3,$4,$5,$6"), ",")
+    y, mo, d, h, mi, s = [F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0)) for i in range(6)]
     # months and days beyond their range roll over
     first = F.add_months(F.make_date(y, F.lit(1), F.lit(1)), mo - 1)
     days = F.datediff(first, F.lit("1970-01-01").cast("date")) + d - 1
     ms = days.cast("bigint") * DAY_MS + (h.cast("bigint") - 8) * HOUR_MS + mi.cast("bigint") * 60_000 \
         + s.cast("bigint") * 1000
-    return F.when(src.rlike(pat), ms)
+    return F.when(src.rlike(DATE_TIME), ms)
 
 
 def at_day_end(date_to: str | None) -> str | None:

@@ -24,13 +24,17 @@ def _as_map(d: dict, key: Column, default) -> Column:
     return out.otherwise(default)
 
 
+def _once(values: dict[str, Column], use) -> Column:
+    """use(values), with each value worked out once however often it is used."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), use), F.lit(0))
+
+
 def event_status(min_time, max_time, now_ms) -> Column:
-    start = china_time_ms(min_time)
-    end = china_time_ms(first_text(max_time, min_time))
     now = F.col(now_ms) if isinstance(now_ms, str) else now_ms
-    return F.when((start <= now) & (now <= end), "live").when(now < start, "upcoming") \
-        .when(now - end <= 8 * HOUR_MS, "today-ended").when(now - end <= 2 * DAY_MS, "recent-ended") \
-        .otherwise("old")
+    times = {"start": china_time_ms(min_time), "end": china_time_ms(first_text(max_time, min_time))}
+    return _once(times, lambda t: F.when((t["start"] <= now) & (now <= t["end"]), "live").when(now < t["start"], "upcoming")
+                 .when(now - t["end"] <= 8 * HOUR_MS, "today-ended").when(now - t["end"] <= 2 * DAY_MS, "recent-ended")
+                 .otherwise("old"))
 
 
 def status_label(status) -> Column:
@@ -42,11 +46,11 @@ def status_order(status) -> Column:
 
 
 def is_live_group(bt, et, state, now_ms) -> Column:
-    begin, end = china_time_ms(bt), china_time_ms(et)
     now = F.col(now_ms) if isinstance(now_ms, str) else now_ms
-    return F.when(begin.isNotNull() & end.isNotNull(), (begin <= now) & (now <= end)) \
-        .when(begin.isNotNull(), (begin <= now) & (now - begin < 3 * DAY_MS)) \
-        .otherwise(text(state) == "0")
+    times = {"begin": china_time_ms(bt), "end": china_time_ms(et)}
+    return _once(times, lambda t: F.when(t["begin"].isNotNull() & t["end"].isNotNull(), (t["begin"] <= now) & (now <= t["end"]))
+                 .when(t["begin"].isNotNull(), (t["begin"] <= now) & (now - t["begin"] < 3 * DAY_MS))
+                 .otherwise(text(state) == "0"))
 
 
 def live_candidates(events: DataFrame, province=None, date_from: Column | str | None = None,
@@ -98,6 +102,13 @@ def event_live_rollup(events: DataFrame, groups: DataFrame) -> DataFrame:
         first_text("last_et", "max_time").alias("ends_at"))
 
 
+def chance_text(probability) -> Column:
+    """A probability as percent with one decimal at most, halves up."""
+    tenths = F.floor(F.coalesce(F.col(probability), F.lit(0.0)) * 1000 + 0.5)
+    whole = F.floor(tenths / 10).cast("string")
+    return F.concat(whole, F.when(tenths % 10 != 0, F.concat(F.lit("."), (tenths % 10).cast("string"))).otherwise(""), F.lit("%"))
+
+
 def live_order(rollup: DataFrame) -> DataFrame:
     return rollup.orderBy("status_order", F.desc("date"), F.desc("event_id"))
 
@@ -191,8 +202,8 @@ def _totals(rows: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("opponent_score", round_half_up("opponent_score", 2)).drop("top_score", "formula_rounds")
 
 
-def standings(players: DataFrame, matches: DataFrame, progress: DataFrame) -> DataFrame:
-    """Current table of each group with opponent scores and ranks."""
+def standings(players: DataFrame, matches: DataFrame, progress: DataFrame, display: bool = True) -> DataFrame:
+    """Current table of each group with opponent scores and ranks; the display order costs a sort of all rows of its own."""
     played = matches.filter(is_played())
     opp = players.select("group_id", F.col("participant_id").alias("opp"), F.col("score").alias("opp_score"))
     sums = _meetings(played, opp).groupBy("group_id", F.col("me").alias("participant_id")) \
@@ -200,7 +211,7 @@ def standings(players: DataFrame, matches: DataFrame, progress: DataFrame) -> Da
     r = progress.select("group_id", F.greatest("completed_rounds", F.lit(1)).alias("formula_rounds"))
     rows = players.join(sums, ["group_id", "participant_id"], "left").join(r, "group_id", "left") \
         .na.fill(0.0, ["opponent_score"]).na.fill(1, ["formula_rounds"])
-    return standing_rank(_totals(rows, ["group_id"]), ["group_id"])
+    return (standing_rank if display else score_rank)(_totals(rows, ["group_id"]), ["group_id"])
 
 
 def scenario_rank_distribution(players: DataFrame, matches: DataFrame, progress: DataFrame,

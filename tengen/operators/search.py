@@ -243,6 +243,56 @@ def trailing_two_years(as_of: str) -> dict:
     return {"date_from": low, "date_to": as_of}
 
 
+DYADIC_LEVELS = 15  # spans of 1 to 16,384 days
+
+
+def _day(c) -> Column:
+    return F.datediff(as_date(c), F.lit("1970-01-01").cast("date"))
+
+
+def _spans(low: Column, high: Column) -> Column:
+    """The fewest aligned spans of 2^level days that make up [low, high]: at most two a level, and whole top spans between."""
+    out = []
+    for level in range(DYADIC_LEVELS):
+        span = 1 << level
+        number = F.lit(level)
+
+        def at(v: Column, number: Column = number) -> Column:
+            return F.struct(number.alias("level"), v.cast("bigint").alias("at"))
+        # what the spans below leave over, in whole spans of this length: [a, b)
+        a, b = F.ceil(low / span), F.floor((high + 1) / span)
+        if level == DYADIC_LEVELS - 1:
+            out.append(F.when(a < b, F.transform(F.sequence(a, b - 1), lambda v: at(v))).otherwise(F.array()))
+        else:
+            out.append(F.when((a < b) & (F.pmod(a, F.lit(2)) == 1), F.array(at(a))).otherwise(F.array()))
+            out.append(F.when((a < b) & (F.pmod(b, F.lit(2)) == 1), F.array(at(b - 1))).otherwise(F.array()))
+    return F.flatten(F.array(*out))
+
+
+def events_in_scopes(events: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Events of many scopes given as rows (scope_id, province, date_from, date_to): scope_id and the event's columns.
+
+    A range join as an equi-join: a scope's days are cut into aligned spans of 2^k days, an event's day lies in one span of each
+    length, and spans don't overlap, so a pair meets once. A scope costs about twice as many rows as there are levels, however
+    long it is. What is left on the first and last day is decided by the texts, as `scope_filter` does: a bare last day ends where
+    it begins. An empty bound is open; an empty province means all. Events without a day are in no scope.
+    """
+    day = _day("min_time")
+    own = events.filter(F.col("play_num") > 0).withColumn("_day", day).filter(F.col("_day").isNotNull())
+    first, last = F.lit(-719162), F.lit(2932896)  # years 1 to 9999
+    low = F.greatest(F.coalesce(_day("date_from"), first), first)
+    high = F.least(F.coalesce(_day("date_to"), last), last)
+    wanted = scopes.select("scope_id", F.coalesce("province", F.lit("")).alias("_p"), low.alias("_low"), high.alias("_high"),
+                           text("date_from").alias("_from"), F.coalesce(F.nullif("date_to", F.lit("")), F.lit("9999-12-31 23:59:59")).alias("_to")) \
+        .filter("_low <= _high").select("scope_id", "_p", "_from", "_to", F.explode(_spans(F.col("_low"), F.col("_high"))).alias("_s")) \
+        .select("scope_id", "_p", "_from", "_to", "_s.level", "_s.at")
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col("_day") / (1 << k)).cast("bigint").alias("at"))
+                       for k in range(DYADIC_LEVELS)])
+    placed = own.select(*EVENT_VIEW, F.explode(levels).alias("_s"), F.array(F.lit(""), F.col("provincename")).alias("_ps")) \
+        .select(*EVENT_VIEW, "_s.level", "_s.at", F.explode(F.array_distinct("_ps")).alias("_p"))
+    return placed.join(wanted, ["level", "at", "_p"]).filter("min_time >= _from and min_time <= _to").select("scope_id", *EVENT_VIEW)
+
+
 def events_by_scope(events: DataFrame, scopes: dict[str, dict]) -> DataFrame:
     """Events of many scopes in one pass over the table.
 

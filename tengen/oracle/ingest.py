@@ -45,7 +45,7 @@ O["norm_events"] = with_tables(f"""select coalesce({_j('event_id')}, '') as even
   coalesce({_j('cname')}, '') as cname, cast(coalesce({pint(_j('play_num'))}, 0) as int) as play_num,
   cast(5000 as bigint) as updated_at
   from (select unnest(cast(json_extract(payload, '$.datArr.rows[*]') as json[])) as r
-        from fx_payload_events where fetch_error = '')""")
+        from fx_payload_events where fetch_error = '' and json_valid(payload))""")
 
 O["latest_events"] = with_tables("""select event_id, title, min_time, provincename, city_name, cname, play_num,
   updated_at from (select *, row_number() over (partition by event_id order by updated_at desc,
@@ -87,17 +87,19 @@ O["extract_page_links"] = with_tables("""select page_id, href, cast(min(pos) as
 O["norm_participants"] = with_tables("select * from landed", _CTE_P)
 O["norm_matches"] = with_tables("select * from landed", _CTE_M)
 
-O["replace_participants"] = with_tables("""select * from fx_participants
-  where event_id not in (select event_id from landed)
-  union all
-  select l.event_id, l.group_id, coalesce(g.group_name, ''), l.participant_id, l.participant_name, l.org, l.short_no,
-    l.win, l.lose, l.draw, l.score, l.rank, cast(5000 as bigint)
-  from landed l left join fx_groups g on g.group_id = l.group_id""", _CTE_P)
+# what the payloads of an event carry: none while it waits or errs, else all seats but every 17th, which has no id
+O["replace_participants"] = with_tables("""select event_id, group_id, group_name, participant_id, participant_name, org, short_no,
+    win, lose, draw, score, rank, case when waits then updated_at else cast(5000 as bigint) end as updated_at
+  from (select *, cast(event_id as bigint) % 256 in (0, 32) as waits from fx_participants)
+  where waits or cast(short_no as int) % 17 <> 0""")
 
 _M = "group_id, bout, p1_id, p2_id, p1_name, p2_name, p1_org, p2_org, p1_result, p2_result, p1_score, p2_score"
-O["replace_matches"] = with_tables(f"""select {_M}, updated_at from fx_matches where group_id not in (select group_id from batch)
-  union all select {_M}, cast(5000 as bigint) from batch""", {
-    **_CTE_M, "batch": """select * from landed where group_id not in (select group_id from fx_match_status where last_error <> '')"""})
+# payloads lack the first player in every 23rd place, and add half a point where the seat is a multiple of 7
+O["replace_matches"] = with_tables(f"""select {_M.replace("p1_score", "p1_score + case when kept or seat_a % 7 <> 0 then 0 else 0.5 end as p1_score")},
+    case when kept then updated_at else cast(5000 as bigint) end as updated_at
+  from (select m.*, f.group_id is not null as kept from fx_matches m
+        left join (select group_id from fx_match_status where last_error <> '') f on f.group_id = m.group_id)
+  where kept or (seat_a + bout) % 23 <> 0""")
 
 O["match_status_upsert"] = with_tables("""select group_id, cast(max(bout) as int) as rounds, cast(5000 as bigint) as updated_at,
   '' as last_error from fx_matches group by group_id
@@ -158,16 +160,36 @@ O["match_freshness"] = with_tables("""select g.group_id, g.rounds, s.rounds as s
   from (select group_id, max(win + lose + draw) as rounds from fx_participants group by group_id
         having max(win + lose + draw) > 0) g left join fx_match_status s on s.group_id = g.group_id""")
 
+_PAGES = {"pages_seen": """select page, case when fetch_error <> '' or not ok then 'failed' when err <> '0' then 'empty' else 'loaded' end as status,
+    case when fetch_error <> '' then fetch_error when not ok then 'invalid JSON' when err <> '0' then coalesce(nullif(msg, ''), 'API error')
+      else '' end as error, cast(case when fetch_error <> '' or not ok then 0 else n end as int) as events
+  from (select page, fetch_error, ok, coalesce(json_extract_string(p, '$.error'), '0') as err, json_extract_string(p, '$.msg') as msg,
+      coalesce(json_array_length(p, '$.datArr.rows'), 0) as n
+    from (select page, fetch_error, json_valid(payload) as ok, case when json_valid(payload) then payload else '{}' end as p
+          from fx_payload_events))"""}
+O["event_page_status"] = with_tables("select * from pages_seen", _PAGES)
 O["ingest_run_report"] = with_tables("""select a.*, b.*, c.failed_sample from (
-  select count(*) filter (fetch_error = '') as pages_loaded, count(*) filter (fetch_error <> '') as pages_failed,
-    cast(coalesce(sum(json_array_length(payload, '$.datArr.rows')) filter (fetch_error = ''), 0) as bigint) as events_stored
-  from (select fetch_error, case when payload = '' then '{}' else payload end as payload from fx_payload_events)) a, (
+  select count(*) filter (status <> 'failed') as pages_loaded, count(*) filter (status = 'failed') as pages_failed,
+    cast(coalesce(sum(events), 0) as bigint) as events_stored from pages_seen) a, (
   select count(*) filter (last_error = '') as events_indexed, count(*) filter (last_error <> '') as events_failed,
     cast(coalesce(sum(group_count) filter (last_error = ''), 0) as bigint) as groups_indexed,
     cast(coalesce(sum(participant_count) filter (last_error = ''), 0) as bigint) as participants_indexed
   from fx_index_status) b, (
-  select coalesce(string_agg(page || ':' || fetch_error, ', ' order by page), '') as failed_sample from (
-    select page, fetch_error from fx_payload_events where fetch_error <> '' order by page limit 12)) c""")
+  select coalesce(string_agg(page || ':' || error, ', ' order by page), '') as failed_sample from (
+    select page, error from pages_seen where status = 'failed' order by page limit 12)) c""", _PAGES)
+
+def _delivered(table, columns, owner, mark):
+    """Newest deliveries: every third owner's mark is one more, every fifth has lost its rows, late older ones change nothing."""
+    cols = ", ".join(f"cast({c} + case when k % 96 = 0 then 1 else 0 end as int) as {c}" if c == mark else c for c in columns.split())
+    return with_tables(f"""select {cols} from (select *, cast({owner} as bigint) - cast({owner} as bigint) % 32 as k from {table})
+  where k % 160 <> 0""")
+
+
+O["stream_groups"] = _delivered("fx_groups", "group_id event_id group_name team_type pnumber updated_at", "group_id", "pnumber")
+O["stream_participants"] = _delivered(
+    "fx_participants", "event_id group_id group_name participant_id participant_name org short_no win lose draw score rank updated_at",
+    "event_id", "win")
+O["stream_matches"] = _delivered("fx_matches", f"{_M.replace(',', '')} updated_at", "group_id", "bout")
 
 O["stream_upsert_events"] = with_tables("""select event_id, title, min_time, provincename, city_name, cname, play_num,
   updated_at from (select *, row_number() over (partition by event_id order by updated_at desc, ingest_seq desc) as rn

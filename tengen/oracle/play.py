@@ -1,6 +1,7 @@
 """Games, schedules, live state, standings, rank distribution."""
 
 from .base import with_tables
+from .ingest import _BODY
 from .snippets import OUTCOME, PLAYED, SIDES, china_ms, half_up
 
 O: dict[str, str] = {}
@@ -45,8 +46,10 @@ _LIVE = f"""(case when bt <> '' and et <> '' then {china_ms('bt')} <= now_ms and
   when bt <> '' then {china_ms('bt')} <= now_ms and now_ms - {china_ms('bt')} < 259200000
   else groupstate = '0' end)"""
 O["group_live_flag"] = with_tables(f"select group_id, {_LIVE} as live from fx_live_groups")
-O["live_event_groups"] = with_tables(f"""select event_id, group_id, group_name, pnumber, groupstate as group_state,
-  bt as begins_at, et as ends_at, {_LIVE} as live from fx_live_groups""")
+# as the pages write them: names with a mark behind, no state where the first group of an event isn't running
+O["live_event_groups"] = with_tables(f"""select event_id, group_id,
+  group_name || ' & "' || (cast(group_id as bigint) % 32) || '"' as group_name, pnumber,
+  case when groupstate = '1' and cast(group_id as bigint) % 32 = 0 then '' else groupstate end as group_state, bt as begins_at, et as ends_at, {_LIVE} as live from fx_live_groups""")
 # order is not compared; membership and the live flag are
 O["group_menu_order"] = O["live_event_groups"]
 O["live_candidates"] = with_tables("""select event_id, substr(min_time, 1, 10) as start_date,
@@ -64,10 +67,14 @@ O["event_live_rollup"] = with_tables(_ROLL)
 O["live_order"] = with_tables(f"select event_id, status_order, date from ({_ROLL})")
 
 _PROG = {
-    "given": """select g.group_id, greatest(g.top, coalesce(a.n, 0)) as total
+    "announced": f"""select group_id, cast(case when told > 0 then told when players <= 8 then 5 when players <= 32 then 7 else 9 end as int)
+        as total_rounds, coalesce(told, 0) <= 0 as inferred
+      from (select group_id, max(try_cast(json_extract_string(j, '$.datArr.total_bout') as int)) as told,
+          2 * sum(json_array_length(j, '$.datArr.rows')) as players
+        from (select group_id, cast({_BODY} as json) as j from fx_payload_matches where bout = 1) group by group_id)""",
+    "given": """select g.group_id, greatest(g.top, coalesce(a.total_rounds, 0)) as total
       from (select group_id, max(bout) as top from fx_matches group by group_id) g
-      left join (select group_id, max(try_cast(nullif(regexp_extract(payload, '"total_bout": *"?([0-9]+)', 1), '') as int)) as n
-        from fx_payload_matches group by group_id) a on a.group_id = g.group_id""",
+      left join announced a on a.group_id = g.group_id""",
     "inside": f"select m.*, {PLAYED} as played from fx_matches m",
     "progress": """select t.group_id, cast(t.total as int) as total_rounds,
         cast(coalesce(max(b.bout) filter (b.done), 0) as int) as completed_rounds,
@@ -75,6 +82,7 @@ _PROG = {
       from given t left join (select group_id, bout, bool_and(played) as done from inside group by group_id, bout) b
         on b.group_id = t.group_id group by t.group_id, t.total""",
 }
+O["group_announced_rounds"] = with_tables("select * from announced", {"announced": _PROG["announced"]})
 O["round_progress"] = with_tables("select * from progress", _PROG)
 
 _STAND = {
@@ -108,11 +116,12 @@ O["stream_standings"] = with_tables("select * exclude (display_order) from ranke
       left join {_SCORED_GAMES.format('decided')} g on g.group_id = p.group_id and g.pid = p.participant_id""",
     **{k: v for k, v in _STAND.items() if k not in _PROG and k != "seats"}})
 
-O["scenario_rank_distribution"] = with_tables(f"""select group_id, participant_id, rank, n as count, sims as simulations,
+_CHANCES = f"""select group_id, participant_id, rank, n as count, sims as simulations,
   {half_up('n / sims')} as probability, cast(place as int) as place from (
   select *, row_number() over (partition by group_id, participant_id order by n desc, rank) as place from (
-    select group_id, participant_id, rank, sims, count(*) as n from sim_ranked group by all)) where place <= 5""", {
-    **{k: _STAND[k] for k in ("given", "inside", "progress", "seats")},
+    select group_id, participant_id, rank, sims, count(*) as n from sim_ranked group by all)) where place <= 5"""
+_SIMULATED = {
+    **{k: _STAND[k] for k in ("announced", "given", "inside", "progress", "seats")},
     "sc": "select s.* from fx_scenarios s join given t on t.group_id = s.group_id",
     "runs": "select distinct scenario_id, group_id from sc",
     "sims": "select group_id, count(*) as sims from runs group by group_id",
@@ -134,7 +143,12 @@ O["scenario_rank_distribution"] = with_tables(f"""select group_id, participant_i
     "sim_ranked": """select s.group_id, s.participant_id, k.sims,
         rank() over (partition by s.scenario_id, s.group_id order by total_score desc, score desc) as rank
       from sim_total s join sims k on k.group_id = s.group_id""",
-})
+}
+O["scenario_rank_distribution"] = with_tables(_CHANCES, _SIMULATED)
+O["rank_chance_text"] = with_tables(f"""select group_id, participant_id, rank, case when t % 10 = 0 then cast(t // 10 as varchar)
+    else (t // 10) || '.' || (t % 10) end || '%' as chance
+  from (select *, cast(floor(probability * 1000 + 5e-1) as bigint) as t from ({_CHANCES}))""", _SIMULATED)
+O["stream_changed_standings"] = O["stream_standings"]
 O["round_half_up"] = with_tables(f"""select group_id, bout, p1_id, p2_id, {half_up('v', 0)} as r0, {half_up('v', 2)} as r2,
   {half_up('v / 3', 5)} as r5 from (select *, (p1_score - p2_score) * bout / 8 as v from fx_matches)""")
 O["china_time"] = with_tables(f"select group_id, {china_ms('bt')} as begin_ms, {china_ms('et')} as end_ms from fx_live_groups")

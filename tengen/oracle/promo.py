@@ -291,6 +291,9 @@ O["promotion_history"] = with_tables("select * exclude (min_time, external) from
 O["promotion_summary"] = with_tables("""select n.name, n.scanned, coalesce(c.k, 0) as count from (
     select participant_name as name, count(*) as scanned from fx_participants group by 1) n
   left join (select name, count(*) as k from hist group by 1) c on c.name = n.name""", HIST)
+_WHOLE = "title || '（' || cname || '，' || city_name || '）'"
+O["display_titles"] = with_tables(f"""select event_id, case when length({_WHOLE}) > 24 then substr({_WHOLE}, 1, 24) || '…' else {_WHOLE} end as title_24,
+  case when length({_WHOLE}) > 22 then substr({_WHOLE}, 1, 22) || '…' else {_WHOLE} end as title_22 from fx_events""")
 O["display_fields"] = with_tables("""select name, event_id, group_id, participant_id, promoted_to, date,
   case when length(title) > 28 then substr(title, 1, 28) || '…' else title end as short_title,
   case when rank > 0 and group_size > 0 then '第' || rank || '名 / ' || group_size || '人' when rank > 0 then '第' || rank || '名'

@@ -22,6 +22,14 @@ O["events_in_scope"] = with_tables(f"""select {EVENT} from fx_events e where pla
   and provincename = '四川省' and min_time >= '1996-01-01' and min_time <= '2000-12-31'""")
 O["needs_index_flag"] = with_tables("select event_id, needs_index from flagged", _FLAG)
 O["index_worklist"] = with_tables(f"select {EVENT} from flagged e where play_num > 0 and needs_index", _FLAG)
+O["events_in_scopes"] = with_tables("""select s.scope_id, count(*) as events, min(e.min_time) as first_time, max(e.min_time) as last_time
+  from fx_events e join (select event_id as scope_id, case when k % 3 = 0 then '' else provincename end as province,
+      case when k % 7 = 0 then '' else substr(min_time, 1, 10) end as date_from,
+      case when k % 11 = 0 then '9999-12-31' else strftime(cast(substr(min_time, 1, 10) as date) + cast(k % 400 as int), '%Y-%m-%d')
+        || case when k % 4 = 0 then ' 23:59:59' else '' end end as date_to
+    from (select *, event_key // 32 as k from fx_events)) s
+  on (s.province = '' or s.province = e.provincename) and e.min_time >= s.date_from and e.min_time <= s.date_to
+  where e.play_num > 0 group by s.scope_id""")
 O["scope_defaults"] = with_tables("""select s.scope_id, s.date_from, s.date_to, count(*) as events,
   min(e.min_time) as first_time, max(e.min_time) as last_time
   from fx_events e join (values ('open', '', '0000-01-01', '9999-12-31'),

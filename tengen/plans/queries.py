@@ -16,7 +16,7 @@ from ..operators import games, live, promotion, quick, rating, rules, search, st
 from ..session import stage
 from ..sources import landed, markup, upsert
 from ..sources.fixtures import AS_OF, AS_OF_MS, RECENT_N, Fixtures
-from ..streaming import live_records, stream_upsert
+from ..streaming import change_log, live_records, standings_state, stream_upsert
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LOADED_AT = 5000
@@ -61,6 +61,11 @@ def norm_events(fx):
     return landed.norm_events(fx.payload_events, LOADED_AT)
 
 
+@query
+def event_page_status(fx):
+    return landed.event_page_status(fx.payload_events)
+
+
 @query
 def latest_events(fx):
     return upsert.latest_events(fx.event_updates.drop("event_key"))
@@ -214,6 +219,19 @@ def needs_index_flag(fx):
     return search.with_index_flag(fx.events, fx.index_status, AS_OF).select("event_id", "needs_index")
 
 
+@query
+def events_in_scopes(fx):
+    """As many scopes as there are events, from the province and the days around each."""
+    k = F.floor(F.col("event_key") / 32)
+    scopes = fx.events.select(
+        F.col("event_id").alias("scope_id"), F.when(k % 3 == 0, "").otherwise(F.col("provincename")).alias("province"),
+        F.when(k % 7 == 0, "").otherwise(F.substring("min_time", 1, 10)).alias("date_from"),
+        F.when(k % 11 == 0, "").otherwise(F.concat(D.date_text(F.date_add(D.as_date("min_time"), (k % 400).cast("int"))),
+                                                   F.when(k % 4 == 0, " 23:59:59").otherwise(""))).alias("date_to"))
+    return search.events_in_scopes(fx.events, scopes).groupBy("scope_id").agg(
+        F.count(F.lit(1)).alias("events"), F.min("min_time").alias("first_time"), F.max("min_time").alias("last_time"))
+
+
 @query
 def scope_defaults(fx):
     return search.events_by_scope(fx.events, SCOPES)
@@ -232,7 +250,7 @@ def event_status(fx):
 
 @query
 def group_live_flag(fx):
-    return fx.live_groups.select("group_id", live.is_live_group("bt", "et", "groupstate", "now_ms").alias("live"))
+    return _live_groups(fx).select("group_id", live.is_live_group("bt", "et", "groupstate", "now_ms").alias("live"))
 
 
 @query
@@ -266,7 +284,7 @@ def public_event_flags(fx):
 
 @query
 def live_event_groups(fx):
-    return live.live_event_groups(fx.live_groups)
+    return live.live_event_groups(_live_groups(fx))
 
 
 @query
@@ -306,6 +324,12 @@ def h2h_games(fx):
     return games.h2h_games(fx.matches, fx.participants, fx.events)
 
 
+def _live_groups(fx) -> DataFrame:
+    """Running groups as the event pages announce them."""
+    return fx.shared("live-groups", lambda: stage(
+        markup.live_groups(fx.event_pages).join(fx.events.select("event_id", "now_ms"), "event_id"), "live-groups"))
+
+
 def _announced(fx) -> DataFrame:
     return landed.announced_rounds(fx.payload_matches)
 
@@ -404,6 +428,11 @@ def group_max_rounds(fx):
     return rating.group_max_rounds(fx.participants)
 
 
+@query
+def group_announced_rounds(fx):
+    return _announced(fx)
+
+
 @query
 def round_progress(fx):
     return live.round_progress(fx.matches, _announced(fx))
@@ -411,16 +440,16 @@ def round_progress(fx):
 
 @query
 def event_live_rollup(fx):
-    return live.event_live_rollup(fx.events, fx.live_groups)
+    return live.event_live_rollup(fx.events, _live_groups(fx))
 
 
-def _standings(fx) -> DataFrame:
-    return live.standings(live.seat_list(fx.participants), fx.matches, _progress(fx))
+def _standings(fx, display: bool = True) -> DataFrame:
+    return live.standings(live.seat_list(fx.participants), fx.matches, _progress(fx), display)
 
 
 @query
 def standings(fx):
-    return _standings(fx).drop("display_order")
+    return _standings(fx, display=False)
 
 
 @query
@@ -474,7 +503,17 @@ def group_size_count(fx):
 
 @query
 def scenario_rank_distribution(fx):
-    return rnd(live.scenario_rank_distribution(live.seat_list(fx.participants), fx.matches, _progress(fx), fx.scenarios))
+    return _chances(fx)
+
+
+def _chances(fx) -> DataFrame:
+    return fx.shared("chances", lambda: stage(rnd(live.scenario_rank_distribution(
+        live.seat_list(fx.participants), fx.matches, _progress(fx), fx.scenarios)), "chances"))
+
+
+@query
+def rank_chance_text(fx):
+    return _chances(fx).select("group_id", "participant_id", "rank", live.chance_text("probability").alias("chance"))
 
 
 @query
@@ -571,12 +610,12 @@ def newest_limit(fx):
 
 @query
 def live_order(fx):
-    return live.live_order(live.event_live_rollup(fx.events, fx.live_groups)).select("event_id", "status_order", "date")
+    return live.live_order(live.event_live_rollup(fx.events, _live_groups(fx))).select("event_id", "status_order", "date")
 
 
 @query
 def group_menu_order(fx):
-    return live.group_menu_order(fx.live_groups)
+    return live.group_menu_order(_live_groups(fx))
 
 
 @query
@@ -722,6 +761,13 @@ def round_half_up(fx):
                              N.round_half_up(v, 2).alias("r2"), N.round_half_up(v / 3, 5).alias("r5"))
 
 
+@query
+def display_titles(fx):
+    """Event titles as the two estimate lists cut them."""
+    whole = F.concat("title", F.lit("（"), "cname", F.lit("，"), "city_name", F.lit("）"))
+    return fx.events.select("event_id", X.shorten(whole, 24).alias("title_24"), X.shorten(whole, 22).alias("title_22"))
+
+
 @query
 def display_fields(fx):
     return promotion.display_fields(_promotions(fx))
@@ -793,4 +839,29 @@ def stream_standings(fx):
     found = stage(live_records.run_games(fx), "stream-games")
     now = live_records.records(found.filter(N.is_played()))
     progress = stage(live.round_progress(found, _announced(fx)), "stream-progress")
-    return rnd(live_records.current_standings(now, fx.participants, found, progress).drop("display_order"))
+    return rnd(live_records.current_standings(now, fx.participants, found, progress))
+
+
+@query
+def stream_changed_standings(fx):
+    """Group tables kept by a stateful stream: only groups with changed games are worked out in a micro-batch."""
+    return rnd(standings_state.current(standings_state.run_fixture(fx)))
+
+
+def _change_log(fx):
+    return fx.shared("change-log", lambda: change_log.run_fixture(fx, files_per_trigger=2))
+
+
+@query
+def stream_groups(fx):
+    return change_log.view(_change_log(fx), "groups")
+
+
+@query
+def stream_participants(fx):
+    return change_log.view(_change_log(fx), "participants")
+
+
+@query
+def stream_matches(fx):
+    return change_log.view(_change_log(fx), "matches")

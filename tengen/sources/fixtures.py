@@ -193,9 +193,10 @@ def views(d: Dialect) -> dict[str, str]:
         from {supplier} a join {supplier} b on b.s_suppkey = a.s_suppkey + 1"""
     v["fx_payload_events"] = f"""
         select page, case when page % 5 = 4 then 'HTTP 500' else '' end as fetch_error,
-               case when page % 5 = 4 then '' else
+               case when page % 5 = 4 then '' when page % 11 = 6 then '{{{{"error":1,"msg":"busy","datArr":null}}}}'
+                 when page % 11 = 9 then '{{{{"error":0,"datArr":{{{{"rows":[' else
                  '{{{{"error":0,"datArr":{{{{"TotalPage":9,"rows":[' || {d.join_rows('r')} || ']}}}}}}}}' end as payload
-        from (select cast(floor(event_key / 3200) as bigint) as page,
+        from (select cast(floor(event_key / 320) as bigint) as page,
                      '{{{{"event_id":' || event_id || ',"title":"' || title || '","min_time":"' || min_time
                      || '",' || case when event_key % 160 = 0 then '' else '"provincename":"'
                      || provincename || '",' end || '"city_name":"' || city_name || '","cname":"' || cname
@@ -225,8 +226,9 @@ def views(d: Dialect) -> dict[str, str]:
         group by event_key, event_id, group_id, chunk"""
     v["fx_payload_matches"] = f"""
         select group_id, bout, chunk,
-               'cb({{{{"error":0,"datArr":{{{{"total_bout":9,"rows":[' || {d.join_rows('r')} || ']}}}}}}}})' as payload
-        from (select group_id, bout, cast(floor(seat_a / 50) as bigint) as chunk,
+               'cb({{{{"error":0,"datArr":{{{{' || case when event_key % 64 = 32 then '' when event_key % 192 = 0 then '"total_bout":"",'
+                 else '"total_bout":9,' end || '"rows":[' || {d.join_rows('r')} || ']}}}}}}}})' as payload
+        from (select event_key, group_id, bout, cast(floor(seat_a / 50) as bigint) as chunk,
                      '{{{{"seatnum":"' || cast(seat_a + 1 as string) || '","p1id":"'
                      || case when (seat_a + bout) % 23 = 0 then '' else p1_id end || '","p2id":"' || p2_id
                      || '","p1":"' || p1_name || '","p2":"' || p2_name || '","p1_teamname":"' || p1_org
@@ -238,7 +240,7 @@ def views(d: Dialect) -> dict[str, str]:
                      || case when p2_score = 0 then '' else ',"p2_score":'
                        || cast(cast(p2_score as int) as string) end || '}}}}' as r
               from {{fx_matches}}) t
-        group by group_id, bout, chunk"""
+        group by event_key, group_id, bout, chunk"""
     v["fx_payload_notices"] = """
         select event_id,
                case when event_key % 64 = 0 then '<p>' || notice_text || '</p><script>x("<p>");</script>'
@@ -251,11 +253,13 @@ def views(d: Dialect) -> dict[str, str]:
                '<html><body><a href="/x">x</a>' || {d.join_rows('a')}
                  || '<a class="dup" data-groupid="' || min(group_id) || '" data-groupname="repeat">r</a>'
                  || '</body></html>' as html
-        from (select event_id, group_id,
-                     '<a class="g" data-groupid="' || group_id || '" data-group-name="' || group_name
-                     || ' &amp; &quot;' || cast(g as string) || '&quot;" data-team="0" data-pnumber='''
-                     || cast(pnumber as string) || ''' href="#">' || group_name || '</a>' as a
-              from {{fx_groups}}) t
+        from (select s.event_id, s.group_id,
+                     '<a class="g" data-groupid="' || s.group_id || '" data-group-name="' || s.group_name
+                     || ' &amp; &quot;' || cast(s.g as string) || '&quot;" data-team="0" data-pnumber='''
+                     || cast(s.pnumber as string) || ''' data-bt="' || l.bt || '" data-et="' || l.et || '" '
+                     || case when l.groupstate = '1' and s.g = 0 then '' else 'data-group-state=''' || l.groupstate || '''' end
+                     || ' href="#">' || s.group_name || '</a>' as a
+              from {{fx_groups}} s join {{fx_live_groups}} l on l.group_id = s.group_id) t
         group by event_id"""
     v["fx_event_updates"] = """
         select event_id, title, min_time, provincename, city_name, cname, play_num, updated_at,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import float_or_zero, int_or_zero
+from ..functions.numbers import float_or_zero, int_or_zero, parse_int
 from ..functions.text import WS, first_text, text, trim_ws
 
 _EVENT_ROW = "struct<event_id:string,title:string,min_time:string,max_time:string,provincename:string," \
@@ -58,7 +58,8 @@ def jsonp_rows(df: DataFrame) -> DataFrame:
 def norm_events(pages: DataFrame, loaded_at_ms: int) -> DataFrame:
     """Event-list pages to event rows."""
     body = F.from_json("payload", f"struct<datArr:struct<rows:array<{_EVENT_ROW}>>>")
-    r = pages.filter(F.col("fetch_error") == "").select(F.explode(body["datArr"]["rows"]).alias("r"))
+    whole = F.col("payload").isNotNull() & F.expr("try_parse_json(payload) is not null")
+    r = pages.filter((F.col("fetch_error") == "") & whole).select(F.explode(body["datArr"]["rows"]).alias("r"))
     return r.select(
         text("r.event_id").alias("event_id"), text("r.title").alias("title"),
         text("r.min_time").alias("min_time"), text("r.provincename").alias("provincename"),
@@ -92,21 +93,45 @@ def norm_matches(payloads: DataFrame) -> DataFrame:
 
 
 def announced_rounds(payloads: DataFrame) -> DataFrame:
-    """Rounds a group announces in its round payloads: group_id, total_rounds; groups without a number are missing."""
-    n = F.regexp_extract("payload", r'"total_bout"\s*:\s*"?(\d+)', 1).try_cast("int")
-    return payloads.groupBy("group_id").agg(F.max(n).alias("total_rounds")).filter(F.col("total_rounds") > 0)
+    """Rounds of a group by its first round's payloads: group_id, total_rounds, inferred.
+
+    Where none is announced, the number of players on the first round's list decides: 5 up to 8 players, 7 up to 32, else 9.
+    """
+    env = F.from_json(jsonp_body("payload"), "datArr struct<total_bout:string,rows:array<string>>")
+    first = payloads.filter(F.col("bout") == 1).select("group_id", env["datArr"].alias("d"))
+    players = 2 * F.sum(F.coalesce(F.array_size("d.rows"), F.lit(0)))
+    told = F.max(parse_int("d.total_bout"))
+    return first.groupBy("group_id").agg(told.alias("told"), players.alias("players")).select(
+        "group_id", F.when(F.col("told") > 0, F.col("told")).when(F.col("players") <= 8, 5).when(F.col("players") <= 32, 7).otherwise(9)
+        .cast("int").alias("total_rounds"), (F.coalesce("told", F.lit(0)) <= 0).alias("inferred"))
+
+
+def event_page_status(pages: DataFrame) -> DataFrame:
+    """Every landed page of an event list: loaded, empty (the service answered with an error) or failed (not fetched or not
+    readable), why, and how many events it holds."""
+    env = F.from_json("payload", "struct<error:int,msg:string,datArr:struct<rows:array<string>>,_bad:string>",
+                      {"columnNameOfCorruptRecord": "_bad"})
+    p = pages.select("page", "fetch_error", env.alias("e"))
+    bad = F.col("e").isNull() | F.col("e._bad").isNotNull()
+    failed = (F.col("fetch_error") != "") | bad
+    refused = F.coalesce(F.col("e.error"), F.lit(0)) != 0
+    return p.select(
+        "page", F.when(failed, "failed").when(refused, "empty").otherwise("loaded").alias("status"),
+        F.when(F.col("fetch_error") != "", F.col("fetch_error")).when(bad, "invalid JSON")
+        .when(refused, first_text("e.msg", F.lit("API error"))).otherwise("").alias("error"),
+        F.when(failed, 0).otherwise(F.coalesce(F.array_size("e.datArr.rows"), F.lit(0))).alias("events"))
 
 
 def ingest_run_report(pages: DataFrame, index_status: DataFrame) -> DataFrame:
     """Counters of a crawl and an index run; the sample holds the first 12 failed pages."""
-    rows = F.from_json("payload", "struct<datArr:struct<rows:array<string>>>")["datArr"]["rows"]
-    bad = F.col("fetch_error") != ""
-    failed = pages.filter(bad).select("page", F.concat_ws(":", F.col("page").cast("string"), "fetch_error").alias("t")) \
+    seen = event_page_status(pages)
+    bad = F.col("status") == "failed"
+    failed = seen.filter(bad).select("page", F.concat_ws(":", F.col("page").cast("string"), "error").alias("t")) \
         .orderBy("page").limit(12) \
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda s: s["t"]), ", ")
              .alias("failed_sample"))
-    crawl = pages.agg(F.count_if(~bad).alias("pages_loaded"), F.count_if(bad).alias("pages_failed"),
-                      F.coalesce(F.sum(F.when(~bad, F.size(rows))), F.lit(0)).alias("events_stored"))
+    crawl = seen.agg(F.count_if(~bad).alias("pages_loaded"), F.count_if(bad).alias("pages_failed"),
+                     F.coalesce(F.sum("events"), F.lit(0)).cast("bigint").alias("events_stored"))
     ok = F.col("last_error") == ""
     index = index_status.agg(
         F.count_if(ok).alias("events_indexed"), F.count_if(~ok).alias("events_failed"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import parse_int
 from ..functions.text import decode_entities, text
 
 GROUP_ANCHOR = r"(?i)<a\b[^>]*data-groupid=[\"']?\d+[\"']?[^>]*>"
@@ -46,3 +47,13 @@ def extract_anchor_groups(pages: DataFrame) -> DataFrame:
         text(F.try_element_at("attrs", F.lit("pnumber"))).alias("pnumber"))
     return pages.select("event_id").join(found, "event_id", "left") \
         .withColumn("error", F.when(F.col("group_id").isNull(), "no groups found").otherwise(""))
+
+
+def live_groups(pages: DataFrame) -> DataFrame:
+    """Groups of event pages with all that a running group's anchor tells: names, size, begin, end and state."""
+    def attr(name: str) -> Column:
+        return text(F.try_element_at("attrs", F.lit(name)))
+    return extract_anchors(pages, "event_id").select(
+        "event_id", F.col("key").alias("group_id"), attr("groupname").alias("group_name"),
+        F.coalesce(parse_int(attr("pnumber")), F.lit(0)).cast("int").alias("pnumber"), attr("bt").alias("bt"), attr("et").alias("et"),
+        attr("groupstate").alias("groupstate"))
