@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pieces, stage, table, take_columns, texts_of
+from .subwords import release
 
 GROUP, EXTRA = 256, 32  # items of a latent space; random directions of the corpus in it
 COMMON = 0.1  # weight of words that more than every third text holds
@@ -84,6 +85,7 @@ def by_length(words: list[np.ndarray]) -> list[list[int]]:
 def sequences(docs: DataFrame, items: Broadcast) -> DataFrame:
     """doc_id, word numbers (-1: in no item; empty without a word of an item) and a hash of the text of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         get = items.value.number.get
         for batch in pieces(batches):
             out, digest = [], []
@@ -325,9 +327,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of `docs` in which no benchmark item was found, with their own columns."""
-    hits = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct(), "decontam-hits")
-    return docs.join(hits, docs["doc_id"] == hits["_hit"], "left_anti")
+    """Rows of `docs` in which no benchmark item was found, with their own columns. Rows are told apart by id and text, so a null
+    id saves no row and a shared one costs none."""
+    row = F.xxhash64(F.col("`doc_id`"), F.col("`text`"))
+    found = contaminated(docs.select(row.alias("doc_id"), "text"), benchmark)
+    hits = stage(found.select(F.col("doc_id").alias("_hit")).distinct(), "decontam-hits")
+    return docs.join(hits, row == hits["_hit"], "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

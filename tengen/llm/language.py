@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LETTER, char_classes, table, take_columns, texts_of
+from .common import LETTER, char_classes, pieces, table, take_columns, texts_of
+from .subwords import release
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -28,6 +29,7 @@ SCALE = 50.0
 MAX_ROWS = 2000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.01
 SLICE = 1 << 20  # characters handled at once
+ROWS = 500  # rows held at once with their texts
 UNKNOWN = "und"
 MIN_SCORE = 0.5  # less sure texts are rejected by the filter
 
@@ -190,7 +192,8 @@ def predict(docs: DataFrame, model: Model | None, names: tuple[str, str] = ("lan
         return found, sure
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        release()
+        for batch in pieces(batches, ROWS):
             found, sure = scores(texts_of(batch.column(batch.schema.get_field_index("text"))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(sure, pa.float64())],
                                              names=[*batch.schema.names, first, second])

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, pieces, stage, table, take_columns
+from .subwords import release
 
 SHINGLE, PERCENT = 4, 85
 SLICE = 2 << 20
@@ -127,6 +128,8 @@ def raw_texts(column: pa.Array) -> list[bytes]:
 def often_seen(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many documents hold, with counts; only the order of shingles depends on them, no result."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+
         def counted(held: list[np.ndarray]) -> pa.RecordBatch:
             seen, count = np.unique(np.concatenate(held), return_counts=True)
             keep = count >= 2  # a shingle of many documents comes back within a few thousand of them

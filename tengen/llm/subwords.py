@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import WHITE_SPACE
+from .common import WHITE_SPACE, trim
 
 MAX_PIECES = 1_200_000
 MARKS = frozenset(",.;:!?")
@@ -92,4 +92,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def release() -> None:
+    """Give back the pieces a worker has kept; called where other work begins in a worker that encoded before."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        trim()
+
+
 
