@@ -5,7 +5,7 @@ next one. All but the last return the columns of `documents`:
 
 * language_id: documents in no language the model is sure of go;
 * near_duplicates: of each group of linked documents (word shingles of five, Jaccard 0.8 at least) the one with the smallest id stays, one row of it; documents without
-  words link with nothing and stay; a null doc_id stays;
+  words link with nothing and stay; a null doc_id stays; rows that share an id but not their text are documents of their own;
 * decontamination: documents that hold a benchmark item go;
 * secret_scan: every document stays, secrets in its text are masked and n_chars follows;
 * packing: one row for each piece of a packed sequence.
@@ -34,15 +34,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = near_join.near_components(docs, WORDS, PERCENT)
-    keep = stage(found.where("component_id = doc_id").select("doc_id").distinct(), "pipeline-keep")
-    copies = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(keep, "doc_id", "left_semi")
-    # repeated ids are rare; only their rows are compared with each other
-    single = kept.join(copies, "doc_id", "left_anti")
-    repeated = kept.join(copies, "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.min(F.struct("text", "lang", "source", "n_chars")).alias("d")).select("doc_id", "d.*")
-    return single.unionByName(repeated).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    copies = stage(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "pipeline-copies")
+    # rows that share their id are told apart by their text; repeated ids are rare
+    some = docs.join(copies, "doc_id", "left_semi").withColumn("_row", F.xxhash64("doc_id", "text"))
+    alone = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").withColumn("_row", F.col("doc_id"))
+    rows = alone.unionByName(some)
+    found = near_join.near_components(rows.select(F.col("_row").alias("doc_id"), "text"), WORDS, PERCENT)
+    found = found.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    named = found.join(some.select("_row", "doc_id").distinct(), "_row", "left").withColumn("doc_id", F.coalesce("doc_id", "_row"))
+    keep = stage(named.groupBy("component_id").agg(F.min_by("_row", F.struct("doc_id", "_row")).alias("_row")).select("_row"), "pipeline-keep")
+    one = some.join(keep, "_row", "left_semi").groupBy("_row", "doc_id", "text").agg(
+        F.min(F.struct("lang", "source", "n_chars")).alias("d")).select("doc_id", "text", "d.*")
+    return (alone.join(keep, "_row", "left_semi").select(*COLUMNS).unionByName(one.select(*COLUMNS))
+            .unionByName(docs.where("doc_id is null")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
