@@ -66,4 +66,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{spark.sparkContext.applicationId}/stage/{label}-{uuid.uuid4().hex[:12]}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Remove the files of staged results that nothing reads any more; other frames are left alone."""
+    for df in frames:
+        path = getattr(df, "__dict__", {}).get("_staged_at")
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
