@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import discard, stage
 
-__all__ = ["stage", "table", "ship", "row_totals", "components", "decode", "char_classes", "pieces", "texts_of", "take_columns"]
+__all__ = ["stage", "discard", "table", "ship", "row_totals", "components", "decode", "char_classes", "pieces", "texts_of", "take_columns"]
 
 _shipped: set[str] = set()
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -84,13 +84,16 @@ def components(edges: DataFrame, label: str = "links") -> DataFrame:
         small = (small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         small = stage(small, label)
+        discard(e, big)
         before, mark = mark, sign(small)  # counts and hash sums of the (distinct) edges: cheaper than comparing them
         if mark == before:
             break
         e = small
     roots = small.select(F.col("v").alias("node")).distinct()
-    return stage(small.select(F.col("u").alias("node"), F.col("v").alias("component"))
-                 .unionByName(roots.select("node", F.col("node").alias("component"))), label)
+    out = stage(small.select(F.col("u").alias("node"), F.col("v").alias("component"))
+                .unionByName(roots.select("node", F.col("node").alias("component"))), label)
+    discard(small)
+    return out
 
 
 # ---- vectorised text ----------------------------------------------------------------------------------------

@@ -103,6 +103,7 @@ def sequences(docs: DataFrame, items: Broadcast) -> DataFrame:
 def weights(rows: DataFrame, size: int) -> np.ndarray:
     """IDF of every word over distinct texts: each of n copies counts as 1/n."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         df = np.zeros(size + 1)
         for batch in pieces(batches):
             share = 1 / batch.column(1).to_numpy()
@@ -265,6 +266,7 @@ def matches(seqs: DataFrame, shared_group: Broadcast, idf: np.ndarray, space: np
     shared = seqs.sparkSession.sparkContext.broadcast((idf, space))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         (weight, axes), group = shared.value, shared_group.value
         distinct = [np.unique(w) for w in group.words]
         mass = np.array([weight[w].sum() for w in distinct])

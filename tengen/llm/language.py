@@ -72,8 +72,9 @@ def bounds(starts: np.ndarray, total: int) -> np.ndarray:
 def document_counts(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each bucket occurs, and the number of texts, over all rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         df, n = np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
+        for batch in pieces(batches, ROWS):
             for a, b, keys, starts in grams(texts_of(batch.column(0))):
                 n += b - a
                 edge = bounds(starts, keys.shape[1])
@@ -103,7 +104,8 @@ def sample(docs: DataFrame, max_rows: int) -> pd.DataFrame:
            .select("doc_id").distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        release()
+        for batch in pieces(batches, ROWS):
             data = []
             for a, b, keys, starts in grams(texts_of(batch.column(1))):
                 edge = bounds(starts, keys.shape[1])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, pieces, stage, table, take_columns
+from .common import components, discard, pieces, stage, table, take_columns
 from .subwords import release
 
 SHINGLE, PERCENT = 4, 85
@@ -153,11 +153,12 @@ def often_seen(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), prefix: the first shingles of the set in the common order."""
+    """row, doc_id, n, d1, d2 (digest of the set), prefix: the first shingles of the set in the common order."""
     sc = docs.sparkSession.sparkContext
     often = sc.broadcast(often_seen(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         tokens, counts = often.value
         for batch in pieces(batches):
             n, digest, prefix = [], [], []
@@ -177,7 +178,8 @@ def index_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), lists],
                 names=["doc_id", "n", "d1", "d2", "prefix"])
 
-    return stage(docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "near-index")
+    rows = docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
+    return stage(rows.withColumn("row", F.monotonically_increasing_id()), "near-index")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -187,6 +189,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
     some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in pieces(batches):
             sets = list(shingle_sets(raw_texts(batch.column(1)), k))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in sets])]).astype(np.int32)
@@ -198,8 +201,10 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
     same = F.size(F.array_intersect("ta", "tb"))
-    return stage(pairs.join(left, "a").join(right, "b")
-                 .where((100 + percent) * same >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "near-links")
+    links = stage(pairs.join(left, "a").join(right, "b")
+                  .where((100 + percent) * same >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "near-links")
+    discard(ids, sets)
+    return links
 
 
 def within_bounds(percent: int):
@@ -212,9 +217,10 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text)."""
     docs = take_columns(docs, "doc_id", "text")
     index = index_rows(docs, k, percent)
-    classes = (index.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
+    classes = (index.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("r"))
+               .select("n", "d1", "d2", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("row")))
     classes = stage(classes, "near-classes")
-    one = index.join(classes.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_semi")
+    one = index.join(classes.select("row"), "row", "left_semi")  # one row a class, however often it is repeated
     # a little wider than the largest ratio of linked sizes, so that rounding never parts a link by two bands
     band = F.floor(F.log("n") / (1.001 * math.log(100 / percent))).cast("int")
     entries = one.select(F.posexplode("prefix").alias("p", "token"), F.col("doc_id").alias("d"), "n", band.alias("band"))
@@ -225,6 +231,7 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     # lists (the text that copies were made from holds few shingles of its own), then with others in turn
     degree = lists.groupBy("d").agg(F.count("*").alias("degree"))
     held = stage(lists.join(degree, "d").withColumn("c", F.col("d")), "near-held")
+    discard(lists)
     tried = links = None
     for turn in range(ROUNDS):
         weight = F.col("degree") if turn == 0 else F.xxhash64("d", F.lit(turn))
@@ -242,10 +249,13 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         pairs = stage(pairs, "near-pairs")
         new = verify(docs, pairs, k, percent)
         tried, links = (tried.unionByName(pairs), links.unionByName(new)) if turn else (pairs, new)
-        known = components(links, "near-round").withColumnRenamed("node", "d")
-        held = held.drop("c").join(known, "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
-        mixed = held.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
-        held = stage(held.join(mixed, "token"), "near-held")
+        reached = components(links, "near-round")
+        known = reached.withColumnRenamed("node", "d")
+        now = held.drop("c").join(known, "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
+        mixed = now.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("token")
+        now = stage(now.join(mixed, "token"), "near-held")
+        discard(held, reached)
+        held = now
 
     # 2. what lists with several components still hold
     salt = F.when(F.col("size") <= BLOCK, 0).otherwise(
@@ -267,6 +277,7 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     cross = (probe.join(blocks, ["token", "band"]).where(~skip).select("a", "na", F.explode(may).alias("e"))
              .select("a", F.col("e.d").alias("b"), "na", F.col("e.n").alias("nb")).distinct())
     more = stage(cross.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    discard(held)
     links = links.unionByName(verify(docs, more, k, percent))
     found = components(links, "near-round").withColumnRenamed("node", "rep").withColumnRenamed("component", "reached")
     classes = classes.join(found, "rep", "left").select("n", "d1", "d2", F.coalesce("reached", "rep").alias("component_id"))

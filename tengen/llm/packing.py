@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import row_totals, stage, table, take_columns, texts_of
+from .common import row_totals, stage, table, take_columns, texts_of, trim
 from .subwords import encoder
 
 VOCABULARY, END, WINDOW = "byte_bpe_50k.json", 0, 1024
@@ -104,6 +104,7 @@ def tokenised(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, tail, step = encoder(path), np.array([end], np.uint32).tobytes(), 4 * window
         tool.limit = PIECES
+        trim()
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS_PER_BATCH):
                 batch = whole.slice(lo, ROWS_PER_BATCH)

@@ -93,10 +93,9 @@ def encoder(path: str) -> Encoder:
 
 
 def release() -> None:
-    """Give back the pieces a worker has kept; called where other work begins in a worker that encoded before."""
-    if encoder.cache_info().currsize:
-        encoder.cache_clear()
-        trim()
+    """Give back the pieces a worker has kept and memory that other work has freed; called where work without them begins."""
+    encoder.cache_clear()
+    trim()
 
 
 

@@ -125,7 +125,10 @@ def test_decontamination(spark, make):
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make(docs), bench).collect()}
     assert got == want | {(None, 3)}
     kept = decontam.clean(make(docs), bench)
-    assert {r.doc_id for r in kept.select("doc_id").collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    # a contaminated row goes though its id is null, and a clean one stays though it shares its id with a contaminated one
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == {d for d, _ in docs} - {d for d, _ in want} - {None}
+    twice = make([(0, items[0][1]), (0, "a clean text of its own"), (None, items[0][1]), (None, "clean"), (7, items[1][1]), (7, items[1][1])])
+    assert sorted((r.doc_id or -1, r.text) for r in decontam.clean(twice, bench).collect()) == [(-1, "a clean text of its own"), (-1, "clean")]
     assert decontam.contaminated(make(docs).where("false"), bench).count() == 0
     assert decontam.contaminated(make(docs), bench.where("false")).count() == 0
 

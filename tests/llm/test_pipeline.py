@@ -59,3 +59,22 @@ def test_near_duplicates_of_five_words_and_a_fifth(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in cp.near_duplicates(spark, docs, SMALL).collect()}
     assert kept == {0} | {i for i, x in enumerate(alike) if x < 0.8} == {0, 3, 4}
+
+
+def test_rows_that_share_an_id(spark):
+    text = lambda a, n=60: " ".join(f"{a}{k}" for k in range(n))
+    rows = [(5, text("p"), "en", "s", 1), (5, text("q"), "en", "s", 1), (9, text("q") + " more", "en", "s", 1), (5, text("q"), "de", "t", 2),
+            (3, text("p"), "en", "s", 1), (4, None, "en", "s", 0), (4, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted((r.doc_id, r.text or "") for r in cp.near_duplicates(spark, docs, SMALL).collect())
+    assert kept == sorted([(3, text("p")), (5, text("q")), (4, ""), (4, "")])  # of each group one row, unlinked texts all
+
+
+def test_many_equal_rows_of_one_id(spark):
+    from tengen.llm import near_join
+
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = spark.range(100_000).selectExpr("7L as doc_id", f"'{text}' as text").unionByName(
+        spark.createDataFrame([(8, text), (9, text + " x"), (10, "other words")], "doc_id long, text string"))
+    got = near_join.near_components(docs).groupBy("doc_id", "component_id").count().collect()
+    assert {(r.doc_id, r.component_id, r["count"]) for r in got} == {(7, 7, 100_000), (8, 7, 1), (9, 7, 1), (10, 10, 1)}
