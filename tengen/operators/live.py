@@ -81,8 +81,10 @@ def live_event_groups(groups: DataFrame) -> DataFrame:
 
 
 def group_menu_order(groups: DataFrame) -> DataFrame:
-    """Live groups first, then names in Chinese collation."""
-    return live_event_groups(groups).orderBy(F.desc("live"), F.collate("group_name", "zh"), "group_id")
+    """Live groups first, then names in Chinese collation; place numbers the groups of an event."""
+    order = [F.desc("live"), F.collate("group_name", "zh"), F.col("group_id")]
+    return live_event_groups(groups).withColumn("place", F.row_number().over(Window.partitionBy("event_id").orderBy(*order))) \
+        .orderBy(*order)
 
 
 def event_live_rollup(events: DataFrame, groups: DataFrame) -> DataFrame:

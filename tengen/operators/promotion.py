@@ -95,7 +95,7 @@ def later_group_inference(decided: DataFrame) -> DataFrame:
 
 
 def decide(candidates: DataFrame, groups: DataFrame, notices, confirmed, event_groups,
-           confirmed_public=rules.CONFIRMED_PUBLIC_EVENTS) -> DataFrame:
+           confirmed_public: DataFrame | None = None) -> DataFrame:
     """Entries (groups as of rules.rule_groups) with ladder, chosen rule and decision, stored: three later steps read them."""
     ladders = rules.level_ladder(event_groups)
     rows = rules.with_rule(candidates, groups, notices, confirmed, ladders, confirmed_public)

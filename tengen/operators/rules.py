@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ranks as K
@@ -37,9 +37,6 @@ STANDARDS = [
     ("河北省", "level", 6, 85, "5级", None),
     ("河北省", "level", 7, 90, "6级", None),
 ]
-# public events for which an association confirmed its standard
-CONFIRMED_PUBLIC_EVENTS = ["54734"]
-
 RULE_FIELDS = ["text", "percent", "top_n", "wins", "top_n_target", "target", "full_win_target",
                "rounding", "min_rounds", "source"]
 
@@ -110,6 +107,26 @@ def group_fragments(groups: DataFrame, notices: DataFrame) -> DataFrame:
         .withColumn("fragment", K.narrow_fragment("matched_text", "labels")).drop("labels")
 
 
+def indexed_matches(groups: DataFrame, notices: DataFrame) -> DataFrame:
+    """The pairs of group_fragments (event_id, group_name, pos, fragment) through an index of label heads.
+
+    Fragments are cut into their distinct runs of one and two characters, once; a label meets those that begin as it does and is
+    looked for in these alone. The work follows the length of the texts and the pairs that share a head, not labels times
+    fragments.
+    """
+    fragments = stage(fragment_rows(notices), "fragments")
+    head = lambda c: F.substring(c, 1, 2)
+    labels = groups.select("event_id", "group_name", F.explode(K.group_labels("group_name", "kind", "current")).alias("label")) \
+        .withColumn("head", head(F.col("label")))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("fragment") - n + 1, F.lit(1))),
+                                 lambda i: F.substring(F.col("fragment"), i, F.lit(n)))
+    index = fragments.select("event_id", F.col("pos").alias("at"), F.explode(F.array_distinct(F.concat(runs(1), runs(2)))).alias("head"))
+    pairs = index.join(labels, ["event_id", "head"]).join(fragments.withColumnRenamed("pos", "at"), ["event_id", "at"]) \
+        .filter(F.contains("fragment", F.col("label"))).select("event_id", "group_name", "at", "fragment").distinct()
+    order = Window.partitionBy("event_id", "group_name").orderBy("at")
+    return pairs.withColumn("pos", (F.row_number().over(order) - 1).cast("int")).drop("at")
+
+
 def fragment_fields(groups: DataFrame, notices: DataFrame, ladders: DataFrame) -> DataFrame:
     """Every narrowed fragment with the fields it states."""
     rows = K.with_rule_fields(group_fragments(groups, notices).join(ladders, "event_id", "left"))
@@ -141,10 +158,11 @@ def confirmed_rules(confirmed: DataFrame) -> DataFrame:
     )).alias("confirmed_rule"))
 
 
-def association_rules(candidates: DataFrame, confirmed_public=CONFIRMED_PUBLIC_EVENTS) -> DataFrame:
+def association_rules(candidates: DataFrame, confirmed_public: DataFrame | None = None) -> DataFrame:
     """Add the association's standard for the entry's level where its event qualifies.
 
-    candidates carry lv and the event flags (promotion.levelled).
+    candidates carry lv and the event flags (promotion.levelled). confirmed_public(event_id): public events for which an
+    association confirmed its standard.
     """
     dims = rule_dims(candidates.sparkSession)
     rule = F.struct(*_rule(text=F.col("text"), percent=F.col("percent"), target=F.col("target"),
@@ -152,17 +170,21 @@ def association_rules(candidates: DataFrame, confirmed_public=CONFIRMED_PUBLIC_E
                            min_rounds=F.col("min_rounds"), source=F.lit("association-general-rule")))
     dims = dims.select(F.col("province").alias("provincename"), F.col("kind").alias("rule_kind"),
                        F.col("level").alias("rule_level"), rule.alias("standard"))
-    allowed = F.col("rank_event") | (
-        F.col("backed_public_event") & F.col("event_id").isin(*confirmed_public)
-        & (F.col("lv.kind") == "dan") & (F.col("lv.current") >= 3))
     c = candidates.withColumn("rule_kind", F.col("lv.kind")).withColumn("rule_level", F.col("lv.current"))
+    if confirmed_public is None:
+        c = c.withColumn("_confirmed", F.lit(False))
+    else:
+        listed = confirmed_public.select("event_id", F.lit(True).alias("_confirmed")).distinct()
+        c = c.join(listed, "event_id", "left").withColumn("_confirmed", F.coalesce("_confirmed", F.lit(False)))
+    allowed = F.col("rank_event") | (F.col("backed_public_event") & F.col("_confirmed")
+                                     & (F.col("lv.kind") == "dan") & (F.col("lv.current") >= 3))
     return c.join(F.broadcast(dims), ["provincename", "rule_kind", "rule_level"], "left") \
         .withColumn("association_rule", F.when(allowed, F.col("standard"))) \
-        .drop("standard", "rule_kind", "rule_level")
+        .drop("standard", "rule_kind", "rule_level", "_confirmed")
 
 
 def with_rule(candidates: DataFrame, groups: DataFrame, notices: DataFrame, confirmed: DataFrame,
-              ladders: DataFrame, confirmed_public=CONFIRMED_PUBLIC_EVENTS) -> DataFrame:
+              ladders: DataFrame, confirmed_public: DataFrame | None = None) -> DataFrame:
     """Choose per entry (groups as of rule_groups): notice rule, else confirmed rule, else association standard."""
     mined = notice_rules(groups, notices, ladders)
     known = confirmed_rules(confirmed)

@@ -122,8 +122,13 @@ class StrengthRun:
     """One estimation over a window: shared steps are stored once, results read them."""
 
     def __init__(self, participants, events, matches, as_of: str, province=None, recent_n: int | None = None,
-                 passes: int = R.PASSES):
-        self.participants, self.events, self.matches = participants, events, matches
+                 passes: int = R.PASSES, name: str | None = None):
+        if name is not None:
+            # ratings move within groups only, so one player needs no other group than their own
+            groups = participants.filter(F.col("participant_name") == name).select("group_id").distinct()
+            participants = participants.join(groups, "group_id", "left_semi")
+            matches = matches.join(groups, "group_id", "left_semi")
+        self.participants, self.events, self.matches, self.name = participants, events, matches, name
         self.as_of, self.province, self.recent_n, self.passes = as_of, province, recent_n, passes
 
     @cached_property
@@ -148,11 +153,15 @@ class StrengthRun:
 
     @cached_property
     def split(self) -> DataFrame:
-        return namesake_split(self.rows, self.province)
+        return namesake_split(self.wanted, self.province)
+
+    @cached_property
+    def wanted(self) -> DataFrame:
+        return self.rows if self.name is None else self.rows.filter(F.col("participant_name") == self.name)
 
     @cached_property
     def targets(self) -> DataFrame:
-        return stage(target_rows(self.rows, self.province, self.recent_n), "targets")
+        return stage(target_rows(self.wanted, self.province, self.recent_n), "targets")
 
     @cached_property
     def own(self) -> DataFrame:

@@ -17,6 +17,7 @@ O["player_schedule"] = with_tables(f"""select p.event_id, p.group_id, p.particip
   from (select *, win + lose + draw as rounds from fx_participants) p
   join range(1, 100) b(bout) on b.bout <= p.rounds
   left join first_game g on g.group_id = p.group_id and g.me_id = p.participant_id and g.bout = b.bout""", _FIRST)
+O["bucketed_schedule"] = O["player_schedule"]
 O["h2h_games"] = with_tables(f"""select s.group_id, a.group_name, e.event_id, e.title, substr(e.min_time, 1, 10) as date,
   e.provincename as province, e.city_name as city, e.cname as organizer,
   'event/' || e.event_id || '.html#groupID=' || s.group_id as detail_url, s.bout, s.me_id as player_a_id,
@@ -50,8 +51,12 @@ O["group_live_flag"] = with_tables(f"select group_id, {_LIVE} as live from fx_li
 O["live_event_groups"] = with_tables(f"""select event_id, group_id,
   group_name || ' & "' || (cast(group_id as bigint) % 32) || '"' as group_name, pnumber,
   case when groupstate = '1' and cast(group_id as bigint) % 32 = 0 then '' else groupstate end as group_state, bt as begins_at, et as ends_at, {_LIVE} as live from fx_live_groups""")
-# order is not compared; membership and the live flag are
-O["group_menu_order"] = O["live_event_groups"]
+# fixed values: the group names in Chinese collation (digits, then characters by their reading, then letters)
+_NAMES = ["1-2级组", "1段组", "1级组", "2段组", "2级升1段组", "2级组", "3段-4段组", "3段组", "4段组", "5段组", "5级组", "初中组", "低段组", "定2段组",
+          "定段组", "高段组", "公开组", "甲组", "启蒙组", "少儿A组", "一年级组", "U10组", "U8组"]
+O["group_menu_order"] = with_tables(f"""select event_id, group_id, group_name, pnumber, group_state, begins_at, ends_at, live,
+  cast(row_number() over (partition by event_id order by live desc, list_position([{", ".join(f"'{n}'" for n in _NAMES)}],
+    regexp_extract(group_name, '^[^ ]+')), group_id) as int) as place from ({O["live_event_groups"]})""")
 O["live_candidates"] = with_tables("""select event_id, substr(min_time, 1, 10) as start_date,
   substr(max_time, 1, 10) as end_date, provincename, play_num from fx_events
   where substr(max_time, 1, 10) >= cast(cast(make_timestamp((now_ms + 28800000) * 1000) as date) - 2 as varchar)

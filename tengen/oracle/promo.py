@@ -3,6 +3,7 @@
 from .base import with_tables
 from .ingest import ENRICH_CTE
 from .snippets import WS, has, num, rx, strip, strip_html, uri
+from .strength import LEFT, on_left
 
 O: dict[str, str] = {}
 
@@ -119,6 +120,7 @@ MATCH = {
       from tails t left join ends e on e.event_id = t.event_id and e.group_name = t.group_name and e.fpos = t.fpos
       left join ladders d on d.event_id = t.event_id"""}
 O["fragment_group_match"] = with_tables("select event_id, group_name, pos, whole as fragment from narrow", MATCH)
+O["fragment_label_index"] = O["fragment_group_match"]
 O["fragment_narrow"] = with_tables("select event_id, group_name, pos, fragment from narrow", MATCH)
 
 _FULL = "(全胜|[0-9]+连胜)[^。；;]*(跳升|晋升|升)"
@@ -179,9 +181,11 @@ CAND = {**ENRICH_CTE, **RULES, **_STD, "cand": """select e.title, e.min_time, e.
     x.* exclude (rank, rank2), x.rank2 as rank, l.kind, l.current, d.ladder
   from enriched x join fx_events e on e.event_id = x.event_id join lvls l on l.group_name = x.group_name
   left join ladders d on d.event_id = x.event_id"""}
+_QUALIFIES = f"""({RANK_EVENT} or ({BACKED} and c.kind = 'dan' and c.current >= 3
+    and c.event_id in (select event_id from fx_confirmed_events)))"""
 O["association_rule_join"] = with_tables(f"""select c.event_id, c.group_id, c.participant_id, c.provincename, c.kind, c.current, s.percent,
   s.target, s.full_win_target, s.rounding, s.min_rounds, s.text as rule_text from cand c left join std s
-  on s.province = c.provincename and s.kind = c.kind and s.level = c.current and {RANK_EVENT}""", CAND)
+  on s.province = c.provincename and s.kind = c.kind and s.level = c.current and {_QUALIFIES}""", CAND)
 
 CHOSEN = {**CAND, "ruled": f"""select c.*,
     case when n.event_id is not null then 'notice' when k.event_id is not null then 'user-confirmed-rule'
@@ -196,7 +200,7 @@ CHOSEN = {**CAND, "ruled": f"""select c.*,
     case when n.event_id is null and k.event_id is null then s.min_rounds end as min_rounds
   from cand c left join picked n on n.event_id = c.event_id and n.group_name = c.group_name
   left join fx_confirmed_rules k on k.event_id = c.event_id and k.group_name = {strip('c.group_name')}
-  left join std s on s.province = c.provincename and s.kind = c.kind and s.level = c.current and {RANK_EVENT}"""}
+  left join std s on s.province = c.provincename and s.kind = c.kind and s.level = c.current and {_QUALIFIES}"""}
 O["rule_source_choice"] = with_tables("""select event_id, group_id, participant_id, source, rule_text, percent, top_n, wins, target,
   full_win_target, top_n_target from ruled""", CHOSEN)
 
@@ -257,6 +261,11 @@ LATER = {**DECIDED, "usable": f"select * from cand where not {CASUAL}",
          "inf": """select *, coalesce(step between 1 and 2 and rounds >= 5 and (rate >= 0.75e0
         or (rank > 0 and group_size > 0 and rank <= ceil(group_size * 0.35e0))
         or (step = 1 and win > lose and rate >= 2e0 / 3e0)), false) as yes from inferred"""}
+# the same for all entries that the deliveries leave
+_LEFT_CAND = {**LEFT, "left_groups": "select * from fx_groups where (cast(group_id as bigint) - cast(group_id as bigint) % 32) % 160 <> 0",
+              **{k: on_left(v) for k, v in CAND.items()}, "usable": f"select * from cand where not {CASUAL}",
+              "pairs": LATER["pairs"].replace("from undecided c", "from cand c"), "nxt": LATER["nxt"]}
+O["stream_later_entries"] = with_tables("select * from nxt", _LEFT_CAND)
 O["next_decisive_event"] = with_tables("select * from nxt", LATER)
 O["later_group_inference"] = with_tables("""select event_id, group_id, participant_id, later_time, later_event_id, later_group_id,
   step, yes as inferred, case when yes then later_current || case later_kind when 'dan' then '段' else '级' end end as inferred_target

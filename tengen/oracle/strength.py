@@ -1,5 +1,7 @@
 """Level features, rating passes and both strength estimates."""
 
+import re
+
 from ..sources.fixtures import AS_OF, RECENT_N
 from .base import with_tables
 from .snippets import OUTCOME, SIDES, WS, half_up, has, num, trim
@@ -167,9 +169,30 @@ for _i in range(1, 9):
           sum(h.weight * (q.rating + 1.15e0 * (h.pts - 5e-1) * 2)) as s
         from half h join r{_i - 1} q on q.group_id = h.group_id and q.participant_id = h.opp group by 1, 2) g
       on g.group_id = n.group_id and g.me = n.participant_id"""
-O["rating_iterate"] = with_tables(f"""select n.group_id, n.participant_id, n.participant_name, {half_up('n.base')} as base,
+_RATED = f"""select n.group_id, n.participant_id, n.participant_name, {half_up('n.base')} as base,
   n.is_age_group, {half_up('r.rating')} as rating from nodes n join r8 r on r.group_id = n.group_id
-  and r.participant_id = n.participant_id""", _RATE)
+  and r.participant_id = n.participant_id"""
+O["rating_iterate"] = with_tables(_RATED, _RATE)
+# the same over what the deliveries leave: a fifth of all owners has no rows any more, some entries have one win more
+_KEY_OF = "cast({0} as bigint) - cast({0} as bigint) % 32"
+LEFT = {
+    "left_events": f"select * from fx_events where {_KEY_OF.format('event_id')} % 160 <> 0",
+    "left_participants": f"""select * replace (cast(win + case when {_KEY_OF.format('event_id')} % 96 = 0 then 1 else 0 end as int) as win)
+      from fx_participants where {_KEY_OF.format('event_id')} % 160 <> 0""",
+    "left_matches": f"select * from fx_matches where {_KEY_OF.format('group_id')} % 160 <> 0"}
+
+
+def on_left(text: str) -> str:
+    for t in ("events", "participants", "matches", "groups"):
+        text = re.sub(rf"\bfx_{t}\b", f"left_{t}", text)
+    return text
+
+
+O["stream_ratings"] = with_tables(_RATED, {**LEFT, **{k: on_left(v) for k, v in _RATE.items()}})
+O["coverage_counters"] = with_tables("""select provincename as province, substr(min_time, 1, 10) as day, count(*) as events,
+    cast(sum(coalesce(p.n, 0)) as bigint) as entries
+  from left_events e left join (select event_id, count(*) as n from left_participants group by event_id) p on p.event_id = e.event_id
+  where play_num > 0 group by all""", LEFT)
 
 ENTRIES = {**_RATE, "sides": SIDES, "own": _OWN, "u1": """select t.*, o.own_games,
     greatest(1, t.rounds) * t.time_weight * t.event_weight * case when o.own_games > 0 then 1.15e0 else 0.75e0 end as weight,
@@ -326,4 +349,7 @@ O["strength_notes"] = with_tables("""select h.participant_name as name, h.hits,
       count(*) filter (known_opponents >= 2) as known, count(*) filter (h2h_games >= 4) as rep,
       cast(sum(h2h_games) as bigint) as reps from p2 group by 1) e on e.participant_name = h.participant_name""", Q)
 
+O["one_player_strength"] = f"""select * from ({O['player_strength']}) s
+  where name = (select min(s_name) from supplier where s_suppkey in (select l_suppkey from lineitem))"""
+
 ORACLES = O

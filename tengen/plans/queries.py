@@ -14,14 +14,15 @@ from ..functions import ranks as K
 from ..functions import text as X
 from ..operators import games, live, promotion, quick, rating, rules, search, strength
 from ..session import stage
-from ..sources import landed, markup, upsert
+from ..sources import landed, layout, markup, upsert
 from ..sources.fixtures import AS_OF, AS_OF_MS, RECENT_N, Fixtures
-from ..streaming import change_log, live_records, standings_state, stream_upsert
+from ..streaming import change_log, live_records, standings_state, stream_upsert, views
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LOADED_AT = 5000
 EARLY = "1995-01-31"
 FALLBACK_LIMIT = 40
+BUCKETS = 16
 SCOPES = {
     "open": search.resolve_scope(),
     "year-1998": search.resolve_scope(year_from=1998, year_to=1998),
@@ -319,6 +320,14 @@ def player_schedule(fx):
     return games.player_schedule(fx.participants, fx.matches)
 
 
+@query
+def bucketed_schedule(fx):
+    """The schedule from tables that are laid out for it: nothing is shuffled."""
+    prefix = "layout_" + "".join(c if c.isalnum() else "_" for c in fx.spark.sparkContext.applicationId + fx.sf_dir)
+    fx.shared("layout", lambda: layout.write_layout(fx.participants, fx.matches, f"{fx.root}/layout", prefix, BUCKETS) or prefix)
+    return layout.schedule(*layout.read_layout(fx.spark, prefix))
+
+
 @query
 def h2h_games(fx):
     return games.h2h_games(fx.matches, fx.participants, fx.events)
@@ -370,7 +379,7 @@ def _levelled(fx) -> DataFrame:
 
 def _decided(fx) -> DataFrame:
     return fx.shared("decided", lambda: promotion.decide(
-        _levelled(fx), _groups(fx), fx.notices, fx.confirmed_rules, fx.groups))
+        _levelled(fx), _groups(fx), fx.notices, fx.confirmed_rules, fx.groups, fx.confirmed_events))
 
 
 @query
@@ -382,14 +391,14 @@ def later_group_inference(fx):
 
 @query
 def association_rule_join(fx):
-    r = rules.association_rules(_levelled(fx)).select(*ENTRY_KEY, "provincename", "lv.kind", "lv.current", "association_rule.*")
+    r = rules.association_rules(_levelled(fx), fx.confirmed_events).select(*ENTRY_KEY, "provincename", "lv.kind", "lv.current", "association_rule.*")
     return r.select(*ENTRY_KEY, "provincename", "kind", "current", "percent", "target", "full_win_target", "rounding",
                     "min_rounds", F.col("text").alias("rule_text"))
 
 
 @query
 def rule_source_choice(fx):
-    r = rules.with_rule(_levelled(fx), _groups(fx), fx.notices, fx.confirmed_rules, rules.level_ladder(fx.groups))
+    r = rules.with_rule(_levelled(fx), _groups(fx), fx.notices, fx.confirmed_rules, rules.level_ladder(fx.groups), fx.confirmed_events)
     return r.select(*ENTRY_KEY, "rule.source", F.col("rule.text").alias("rule_text"), "rule.percent", "rule.top_n",
                     "rule.wins", "rule.target", "rule.full_win_target", "rule.top_n_target")
 
@@ -462,6 +471,13 @@ def player_strength(fx):
     return rnd(_run(fx).strength())
 
 
+@query
+def one_player_strength(fx):
+    """The same value for one player alone: only the groups that player was in are rated."""
+    name = fx.participants.agg(F.min("participant_name")).first()[0]
+    return rnd(strength.StrengthRun(fx.participants, fx.events, fx.matches, AS_OF, name=name).strength())
+
+
 @query
 def strength_sets(fx):
     return _run(fx).sets().select("name", *joined("orgs", "provinces", "warnings"), "groups", "opponents")
@@ -793,6 +809,11 @@ def fragment_group_match(fx):
     return rules.group_fragments(_groups(fx), fx.notices).select("event_id", "group_name", "pos", F.col("matched_text").alias("fragment"))
 
 
+@query
+def fragment_label_index(fx):
+    return rules.indexed_matches(_groups(fx), fx.notices)
+
+
 @query
 def fragment_narrow(fx):
     return rules.group_fragments(_groups(fx), fx.notices).select("event_id", "group_name", "pos", "fragment")
@@ -852,6 +873,28 @@ def _change_log(fx):
     return fx.shared("change-log", lambda: change_log.run_fixture(fx, files_per_trigger=2))
 
 
+def _views(fx):
+    return fx.shared("views", lambda: views.run_fixture(fx, AS_OF))
+
+
+@query
+def stream_ratings(fx):
+    """Ratings after several batches of deliveries; each batch rates the groups it touched."""
+    return rnd(views.ratings(_views(fx), AS_OF))
+
+
+@query
+def stream_later_entries(fx):
+    """Every entry's next decisive one, looked up again only for the players that a batch touched."""
+    return views.later_entries(_views(fx)).drop("participant_name", "min_time")
+
+
+@query
+def coverage_counters(fx):
+    """Events and entries per province and day, kept by adding what each batch of deliveries changed."""
+    return views.counters(_views(fx))
+
+
 @query
 def stream_groups(fx):
     return change_log.view(_change_log(fx), "groups")

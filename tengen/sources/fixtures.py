@@ -168,6 +168,7 @@ def views(d: Dialect) -> dict[str, str]:
         select event_id, '5级组' as group_name, '本次赛事5级组全胜升1级' as text,
                '1级' as full_win_target
         from {fx_events} where event_key % 960 = 0"""
+    v["fx_confirmed_events"] = "select event_id from {fx_events} where event_key % 128 = 96"
     v["fx_evidence"] = """
         select s.name, 'external-' || e.event_id as event_id,
                e.title || '（3段-4段组）' as title, substring(e.min_time, 1, 10) as date,

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from ..functions.text import text
+from .store import Store, Version
 
 DAY_MS = 86_400_000
 NOTICE_TTL_DAYS = 14
@@ -112,73 +111,17 @@ def match_freshness(wanted: DataFrame, status: DataFrame) -> DataFrame:
         .select("group_id", "rounds", "stored_rounds", usable.alias("usable"))
 
 
-def _bucket(owner: str, buckets: int):
-    return F.pmod(F.xxhash64(owner), F.lit(buckets)).cast("int")
-
-
-def write_store(df: DataFrame, path: str, owner: str, buckets: int = 256) -> None:
-    """A new stored table: owner buckets as folders, and a manifest that names the folder of each bucket.
-
-    Rebalancing splits an oversized bucket over several files instead of one task.
-    """
-    version = uuid.uuid4().hex
-    df.withColumn("bucket", _bucket(owner, buckets)).hint("rebalance", "bucket") \
-        .write.partitionBy("bucket").parquet(f"{path}/data/{version}")
-    spark = df.sparkSession
-    spark.range(buckets).select(F.lit(1).cast("bigint").alias("version"), F.col("id").cast("int").alias("bucket"),
-                                F.lit(version).alias("folder")).coalesce(1).write.parquet(f"{path}/manifest")
-
-
-def _manifest(spark, path: str) -> tuple[int, dict[int, str]]:
-    """Newest version and the folder of each bucket (a row a bucket)."""
-    rows = spark.read.parquet(f"{path}/manifest")
-    top = rows.agg(F.max("version")).first()[0]
-    return top, {r["bucket"]: r["folder"] for r in rows.filter(F.col("version") == top).collect()}
-
-
-def read_store(spark, path: str, schema, only: set[int] | None = None) -> DataFrame:
-    """The stored table as of its newest manifest; with `only`, those buckets alone."""
-    _, folders = _manifest(spark, path)
-    out = spark.createDataFrame([], schema)
-    for folder in sorted(set(folders.values())):
-        own = [b for b, f in folders.items() if f == folder and (only is None or b in only)]
-        if own:
-            part = spark.read.schema(StructType([*schema.fields, StructField("bucket", IntegerType())])) \
-                .option("basePath", f"{path}/data/{folder}").parquet(f"{path}/data/{folder}")
-            out = out.unionByName(part.filter(F.col("bucket").isin(own)).drop("bucket"))
-    return out
-
-
-def apply_replacement(spark, path: str, schema: StructType, batch: DataFrame, owner: str, keys: list[str],
-                      order: list[Column]) -> None:
+def replace_stored(store: Store, table: str, schema: StructType, batch: DataFrame, owner: str, keys: list[str],
+                   order: list[Column], buckets: int = 256) -> int:
     """Replace all rows of the owners in `batch` in a stored table; all other rows stay. keys, order: last duplicate wins.
 
-    Only the touched buckets are read and written anew, to a new folder; readers see them when the next manifest version is
-    appended, so a failed run changes nothing.
+    Only the touched buckets are read and written anew; readers see them from the next version of the store on. If another
+    writer changed one of them meanwhile, the replacement is worked out again. Returns the version that holds it.
     """
-    version, folders = _manifest(spark, path)
-    batch = batch.withColumn("bucket", _bucket(owner, len(folders)))
-    touched = {r[0] for r in batch.select("bucket").distinct().collect()}  # at most one row a bucket
-    if not touched:
-        return
-    batch = batch.drop("bucket")
-    old = read_store(spark, path, schema, touched)
-    folder = uuid.uuid4().hex
-    _replace(old, batch, owner, keys, order).withColumn("bucket", _bucket(owner, len(folders))).hint("rebalance", "bucket") \
-        .write.partitionBy("bucket").parquet(f"{path}/data/{folder}")
-    rows = [(version + 1, b, folder if b in touched else f) for b, f in folders.items()]
-    spark.createDataFrame(rows, "version bigint, bucket int, folder string").coalesce(1) \
-        .write.mode("append").parquet(f"{path}/manifest")
-
-
-def write_events(df: DataFrame, path: str) -> None:
-    """Events laid out for scope filters: by province, ordered by time inside each file."""
-    df.repartitionByRange("provincename", "min_time").sortWithinPartitions("provincename", "min_time") \
-        .write.mode("overwrite").parquet(path)
-
-
-def write_participants(df: DataFrame, path: str) -> None:
-    """Participants ordered by name: a name filter skips row groups; hot names span files."""
-    df.repartitionByRange("participant_name", "event_id").sortWithinPartitions("participant_name", "event_id") \
-        .write.mode("overwrite").parquet(path)
-
+    def work(base: Version) -> dict:
+        touched = store.touched(batch, owner, buckets)
+        if not touched:
+            return {}
+        rows = _replace(store.read(table, schema, base, touched), batch, owner, keys, order)
+        return {table: (buckets, store.write(table, rows, owner, buckets, touched))}
+    return store.commit(work)

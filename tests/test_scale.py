@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tengen.operators import live, promotion, search, strength
 from tengen.plans.queries import REGISTRY
 from tengen.sources import upsert
+from tengen.sources.store import Store
 from tengen.streaming import live_records, stream_upsert
 
 
@@ -137,12 +138,13 @@ def test_equal_totals_spread_over_tasks(spark):
 
 
 def test_stored_replacement_keeps_other_owners(fx, tmp_path):
-    path, spark, rows = str(tmp_path / "s"), fx.spark, fx.participants
-    upsert.write_store(rows, path, "event_id", 4)
+    store, rows = Store(fx.spark, str(tmp_path / "s")), fx.participants
+    store.commit(lambda base: {"participants": (4, store.write("participants", rows, "event_id", 4))})
     one = rows.filter(F.col("event_id") == rows.first()["event_id"])
     batch = one.limit(2).withColumn("org", F.lit("new")).withColumn("ingest_seq", F.lit(1))
-    upsert.apply_replacement(spark, path, rows.schema, batch, "event_id", ["event_id", "group_id", "participant_id"], [F.col("ingest_seq")])
-    got = upsert.read_store(spark, path, rows.schema)
+    keys = ["event_id", "group_id", "participant_id"]
+    assert upsert.replace_stored(store, "participants", rows.schema, batch, "event_id", keys, [F.col("ingest_seq")], 4) == 2
+    got = store.read("participants", rows.schema)
     want = upsert.replace_participants(rows, batch)
     assert got.count() == want.count() and got.exceptAll(want.select(*got.columns)).count() == 0
     assert got.filter(F.col("org") == "new").count() == 2

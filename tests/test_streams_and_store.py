@@ -322,3 +322,142 @@ def test_live_attributes_of_pages(spark):
 def test_percent_texts(column):
     got = column([(x,) for x in (0.0, 0.05, 0.125, 0.1235, 0.9999, 1.0, None)], "p double", live.chance_text("p"))
     assert got == ["0%", "5%", "12.5%", "12.4%", "100%", "100%", "0%"]
+
+
+# ---- incremental views, layout, landed files ---------------------------------------------------------------------
+
+
+def test_views_equal_a_full_run_and_read_only_what_changed(fx, spark, tmp_path):
+    from tengen.operators import promotion, rating
+    from tengen.sources.fixtures import AS_OF
+    from tengen.streaming import views as V
+
+    out, log = Store(spark, str(tmp_path / "views")), Store(spark, str(tmp_path / "log"))
+    change_log.land_fixture(fx, str(tmp_path))
+    landing = spark.read.schema(change_log.ENVELOPE).parquet(f"{tmp_path}/landing")
+    change_log.apply(log, landing.filter("fetched_at = 1000"), 0)
+    V.refresh_ratings(out, log, AS_OF)
+    V.refresh_counters(out, log)
+    V.refresh_later(out, log)
+    first = out.version()
+    event = fx.events.filter("min_time > '2000-02-01' and min_time < '2000-06-01' and event_key % 160 <> 0").orderBy("event_id").first()["event_id"]
+    mine = F.col("owner").cast("bigint") - F.col("owner").cast("bigint") % 32 == int(event)
+    gone = landing.filter("fetched_at = 3000").limit(0)
+    change = landing.filter((F.col("fetched_at") == 1000) & mine & (F.col("table") == "matches")).withColumn("fetched_at", F.lit(4000).cast("long")) \
+        .withColumn("rows", F.slice("rows", 1, 3)).unionByName(gone)
+    lost = landing.filter((F.col("fetched_at") == 1000) & mine & (F.col("table") == "participants")).withColumn("fetched_at", F.lit(4000).cast("long")) \
+        .withColumn("rows", F.slice("rows", 1, 12))
+    for number, batch in ((1, change), (2, lost)):
+        before = log.version()
+        change_log.apply(log, batch, number)
+        touched = {r[0] for r in V.touched_groups(log, before, log.version()).collect()}
+        assert touched and all(int(g) - int(g) % 32 == int(event) for g in touched)
+        V.refresh_ratings(out, log, AS_OF)
+        V.refresh_counters(out, log)
+        V.refresh_later(out, log)
+        p, e, m = (change_log.view(log, t) for t in ("participants", "events", "matches"))
+        nodes = rating.rating_nodes(rating.window_rows(p, e, AS_OF))
+        full = {(r.group_id, r.participant_id): r.rating for r in rating.rating_iterate(nodes, rating.rating_edges(nodes, m)).collect()}
+        got = {(r.group_id, r.participant_id): r.rating for r in V.ratings(out, AS_OF).collect()}
+        assert got.keys() == full.keys() and max(abs(got[k] - full[k]) for k in got) < 1e-9
+        want = {(r.provincename, r.day): (r.n, r.k) for r in e.filter("play_num > 0").join(
+            p.groupBy("event_id").count().withColumnRenamed("count", "c"), "event_id", "left").groupBy(
+                "provincename", F.substring("min_time", 1, 10).alias("day")).agg(
+                    F.count("*").alias("n"), F.sum(F.coalesce("c", F.lit(0))).alias("k")).collect()}
+        assert {(r.province, r.day): (r.events, r.entries) for r in V.counters(out).collect()} == want
+        every = V._levelled_entries(log, log.version(), e.select("event_id")).withColumn("lv", F.struct("kind", "current"))
+        later = {tuple(r[c] for c in promotion.KEY): (r.later_event_id, r.later_group_id) for r in promotion.next_decisive_entry(every, every).collect()}
+        assert {tuple(r[c] for c in promotion.KEY): (r.later_event_id, r.later_group_id) for r in V.later_entries(out).collect()} == later
+    # a repeated refresh changes nothing, and only the buckets of touched groups were written
+    assert V.refresh_ratings(out, log, AS_OF) == V.refresh_counters(out, log) == V.refresh_later(out, log) == out.version().number
+    now, name = out.version(), f"ratings-{AS_OF}"
+    moved = {b for b in now.folders(name) if now.folders(name)[b] != first.folders(name).get(b)}
+    assert moved <= out.touched(spark.createDataFrame([(str(int(event) + g),) for g in range(4)], "group_id string"), "group_id", V.BUCKETS)
+
+
+def test_one_player_needs_only_their_groups(fx):
+    from tengen.operators.strength import StrengthRun
+    from tengen.sources.fixtures import AS_OF
+
+    full = {r.name: r for r in StrengthRun(fx.participants, fx.events, fx.matches, AS_OF).strength().collect()}
+    for name in sorted(full)[:2]:
+        run = StrengthRun(fx.participants, fx.events, fx.matches, AS_OF, name=name)
+        got = run.strength().collect()
+        assert len(got) == 1
+        for c, v in full[name].asDict().items():
+            assert got[0][c] == (pytest.approx(v, abs=1e-9) if isinstance(v, float) else v), c
+        mine = fx.participants.filter(F.col("participant_name") == name).select("group_id").distinct()
+        assert run.rows.join(mine, "group_id", "left_anti").count() == 0
+    assert StrengthRun(fx.participants, fx.events, fx.matches, AS_OF, name="nobody").strength().count() == 0
+
+
+def test_layout_joins_without_a_shuffle(spark):
+    from conftest import SMALL
+
+    from tengen.plans.queries import REGISTRY
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = REGISTRY["bucketed_schedule"](spark, SMALL)
+        assert out.count() == REGISTRY["player_schedule"](spark, SMALL).count()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_landed_files_as_table_and_stream(spark, tmp_path):
+    from tengen.sources import landing
+
+    root = tmp_path / "landed"
+    files = {"kind=events/day=2024-01-01/1.json": '{"error":0,"datArr":{"rows":[{"event_id":"1"}]}}', "kind=events/day=2024-01-01/2.failed": "HTTP 500",
+             "kind=events/day=2024-01-02/3.json": '{"error":0,', "kind=matches/day=2024-01-02/7-2.json": "cb({\n})", "kind=events/day=2024-01-02/4.json": ""}
+    for name, body in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(body)
+    df = landing.payloads(spark, str(root))
+    rows = {(r.kind, r.key): (r.fetch_error, r.payload) for r in df.collect()}
+    assert rows[("events", "1")] == ("", files["kind=events/day=2024-01-01/1.json"]) and rows[("events", "2")] == ("HTTP 500", "")
+    assert rows[("events", "3")][1] == '{"error":0,' and rows[("matches", "7-2")][1] == "cb({\n})" and len(rows) >= 4
+    some = df.filter("kind = 'events' and day >= '2024-01-02'")
+    scan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(kind" in scan and "(day" in scan and some.count() <= 2
+    pages = df.filter("kind = 'events'").select(F.col("key").cast("long").alias("page"), "fetch_error", "payload")
+    got = {r.page: r.status for r in landed.event_page_status(pages).collect()}
+    assert got[1] == "loaded" and got[2] == "failed" and got[3] == "failed"
+    stream = landing.payload_stream(spark, str(root), 2)
+    run = lambda: stream.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True) \
+        .format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
+    run()
+    (root / "kind=events/day=2024-01-02/5.json").write_text("{}")
+    run()
+    seen = {r.key for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert {"1", "2", "3", "7-2", "5"} <= seen
+
+
+def test_confirmed_public_events_come_from_a_table(spark):
+    from tengen.operators import rules
+
+    rows = [("54", "四川省", False, True, ("dan", 3)), ("55", "四川省", False, True, ("dan", 3)), ("54", "四川省", False, True, ("dan", 2)),
+            ("54", "四川省", False, False, ("dan", 3)), ("60", "四川省", True, False, ("level", 2))]
+    df = spark.createDataFrame(rows, "event_id string, provincename string, rank_event boolean, backed_public_event boolean, "
+                                     "lv struct<kind:string,current:int>")
+    got = [(r.event_id, r.lv.current, r.association_rule is not None) for r in rules.association_rules(
+        df, spark.createDataFrame([("54",), ("54",)], "event_id string")).collect()]
+    assert sorted(got) == sorted([("54", 3, True), ("55", 3, False), ("54", 2, False), ("54", 3, False), ("60", 2, True)])
+    assert sum(r.association_rule is not None for r in rules.association_rules(df).collect()) == 1
+
+
+def test_label_index_like_brute_force(spark):
+    from tengen.operators import rules
+
+    rnd = random.Random(9)
+    names = [f"{a}{b}组" for a in range(1, 10) for b in ("级", "段")] + ["定2段组", "U8组", "组"]
+    groups = [(f"e{i % 3}", n, "level" if "级" in n else "dan", int(n[0]) if n[0].isdigit() else 1) for i, n in enumerate(names * 3)]
+    notices = [(f"e{i}", "。".join("".join(rnd.choice([*names, "前3名", "升", "晋升", "，"]) for _ in range(rnd.randint(1, 9))) for _ in range(40)))
+               for i in range(3)] + [("e9", "1级组升"), ("e0x", None)]
+    g = spark.createDataFrame(groups, "event_id string, group_name string, kind string, current int").distinct()
+    n = spark.createDataFrame(notices, "event_id string, notice_text string")
+    key = lambda rows: sorted((r.event_id, r.group_name, r.pos, r[-1]) for r in rows)
+    want = key(rules.group_fragments(g, n).select("event_id", "group_name", "pos", "matched_text").collect())
+    assert key(rules.indexed_matches(g, n).select("event_id", "group_name", "pos", "fragment").collect()) == want and len(want) > 200
