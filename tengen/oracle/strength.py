@@ -174,7 +174,7 @@ _RATED = f"""select n.group_id, n.participant_id, n.participant_name, {half_up('
   and r.participant_id = n.participant_id"""
 O["rating_iterate"] = with_tables(_RATED, _RATE)
 # the same over what the deliveries leave: a fifth of all owners has no rows any more, some entries have one win more
-_KEY_OF = "cast({0} as bigint) - cast({0} as bigint) % 32"
+_KEY_OF = "(cast({0} as bigint) - cast({0} as bigint) % 32)"
 LEFT = {
     "left_events": f"select * from fx_events where {_KEY_OF.format('event_id')} % 160 <> 0",
     "left_participants": f"""select * replace (cast(win + case when {_KEY_OF.format('event_id')} % 96 = 0 then 1 else 0 end as int) as win)
