@@ -28,7 +28,7 @@ ORDERS = 3
 SCALE = 50.0
 MAX_ROWS = 2000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.02, 0.01
-SLICE = 1 << 20  # characters handled at once
+SLICE = 1 << 18  # characters handled at once
 ROWS = 500  # rows held at once with their texts
 UNKNOWN = "und"
 MIN_SCORE = 0.5  # less sure texts are rejected by the filter

@@ -33,7 +33,7 @@ from .common import components, discard, pieces, stage, table, take_columns
 from .subwords import release
 
 SHINGLE, PERCENT = 4, 85
-SLICE = 2 << 20
+SLICE = 1 << 19  # bytes of text hashed at once
 OFTEN, OFTEN_MAX = 16, 500_000  # shingles in more documents go last in the order; at most so many are broadcast
 BLOCK = 64
 COUNTED = 3_000_000  # shingles of a task counted at once
@@ -76,7 +76,7 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     gap = blank[raw]
     edge = np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    size = 1 << max(21, len(raw).bit_length())
+    size = 1 << max(19, len(raw).bit_length())
     up, down = powers(size)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values[raw] * up[:len(raw)], dtype=np.uint64)])
     return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX[3])

@@ -99,11 +99,11 @@ def plan(histogram: np.ndarray, window: int) -> tuple[list[tuple[int, int, int,
     return slots, sequence, rest
 
 
-def tokenised(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
+def tokenised(docs: DataFrame, path: str, window: int, end: int, kept: int = PIECES) -> DataFrame:
     """row, part, doc_id, doc_tokens, crcs of the whole windows, ids of the remainder."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, tail, step = encoder(path), np.array([end], np.uint32).tobytes(), 4 * window
-        tool.limit = PIECES
+        tool.limit = kept
         trim()
         for whole in batches:
             for lo in range(0, whole.num_rows, ROWS_PER_BATCH):
@@ -122,10 +122,11 @@ def tokenised(docs: DataFrame, path: str, window: int, end: int) -> DataFrame:
                  "pack")
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, end: int = END) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, end: int = END, kept: int = PIECES) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. kept: pieces of text whose ids a
+    worker keeps (memory only)."""
     spark = docs.sparkSession
-    rows = tokenised(docs, vocabulary or public_tokenizers.path(VOCABULARY), window, end)
+    rows = tokenised(docs, vocabulary or public_tokenizers.path(VOCABULARY), window, end, kept)
     head = rows.select("part", "row", "doc_id", "doc_tokens", (F.col("doc_tokens") % window).cast("int").alias("rem"),
                        (F.col("doc_tokens") / window).cast("long").alias("full"))
 
