@@ -22,6 +22,7 @@ from tengen.llm import decontam, language, near_join, packing, secrets
 from tengen.llm.common import ship, stage, table
 
 WORDS, PERCENT = 5, 80  # near duplicates of the stage; op4 has limits of its own
+KEPT_PIECES = 300_000  # encoded pieces a worker keeps beside what the other stages leave in it
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL expresses neither the models nor the tokenizer; the stages are tested against brute-force versions
 ORACLE_SQL = None
@@ -62,7 +63,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs.select(*COLUMNS))
+    return packing.pack(docs.select(*COLUMNS), kept=KEPT_PIECES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
