@@ -153,7 +153,7 @@ def often_seen(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """row, doc_id, n, d1, d2 (digest of the set), prefix: the first shingles of the set in the common order."""
+    """doc_id, n, d1, d2 (digest of the set), prefix: the first shingles of the set in the common order."""
     sc = docs.sparkSession.sparkContext
     often = sc.broadcast(often_seen(docs, k))
 
@@ -178,8 +178,7 @@ def index_rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), lists],
                 names=["doc_id", "n", "d1", "d2", "prefix"])
 
-    rows = docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>")
-    return stage(rows.withColumn("row", F.monotonically_increasing_id()), "near-index")
+    return stage(docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "near-index")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -217,10 +216,11 @@ def near_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text)."""
     docs = take_columns(docs, "doc_id", "text")
     index = index_rows(docs, k, percent)
-    classes = (index.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("r"))
-               .select("n", "d1", "d2", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("row")))
+    classes = (index.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     classes = stage(classes, "near-classes")
-    one = index.join(classes.select("row"), "row", "left_semi")  # one row a class, however often it is repeated
+    key = ["doc_id", "n", "d1", "d2"]
+    # one row a class, however often it is repeated; the join has brought equal rows together already
+    one = index.join(classes.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), key, "left_semi").dropDuplicates(key)
     # a little wider than the largest ratio of linked sizes, so that rounding never parts a link by two bands
     band = F.floor(F.log("n") / (1.001 * math.log(100 / percent))).cast("int")
     entries = one.select(F.posexplode("prefix").alias("p", "token"), F.col("doc_id").alias("d"), "n", band.alias("band"))
