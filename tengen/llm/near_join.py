@@ -131,9 +131,13 @@ def often_seen(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         release()
 
         def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-            seen, count = np.unique(np.concatenate(held), return_counts=True)
+            both = np.concatenate(held)
+            held.clear()
+            both.sort()  # in place: one copy of the shingles is held, no more
+            edge = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+            count = np.diff(edge, append=len(both))
             keep = count >= 2  # a shingle of many documents comes back within a few thousand of them
-            return pa.RecordBatch.from_arrays([pa.array(seen[keep]), pa.array(count[keep])], names=["token", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(both[edge[keep]]), pa.array(count[keep])], names=["token", "n"])
 
         held, size = [], 0
         for batch in pieces(batches):
