@@ -155,8 +155,10 @@ def whiten_length(rows: DataFrame, size: int, most: int) -> DataFrame | None:
             far = np.abs(y).max(initial=0) * n + abs(max(map(abs, shift)))
             if far * far < top:
                 deviation = ((n * y.astype(np.int64) + np.array(shift, np.int64)) ** 2).sum(1).tolist()
-            else:  # whole numbers of any size
-                exact = [sum((n * int(a) + b) ** 2 for a, b in zip(row, shift, strict=True)) for row in y]
+            else:  # whole numbers of any size, where the sum can fit
+                about = ((n * y + np.array(shift, np.float64)) ** 2).sum(1)
+                exact = [sum((n * int(a) + b) ** 2 for a, b in zip(row, shift, strict=True)) if near_ < 2.0 ** 63 * 1.001 else 1 << 63
+                         for row, near_ in zip(y, about.tolist(), strict=True)]
                 deviation = [d if d < 1 << 63 else None for d in exact]
             w = (y - rest) @ whiten
             yield pa.RecordBatch.from_arrays(
