@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -72,9 +73,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame | None) -> None:
-    """Remove the files of staged results that nothing reads any more; other frames are left alone."""
+    """Remove the files of staged results that nothing reads any more; other frames are left alone.
+
+    Spark removes the shuffle files of finished steps when the driver collects its garbage, which may be long after; so it is
+    asked to.
+    """
     for df in frames:
         path = getattr(df, "__dict__", {}).get("_staged_at")
         if path:
-            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm = df.sparkSession._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+            gc.collect()
+            jvm.System.gc()
