@@ -461,3 +461,25 @@ def test_label_index_like_brute_force(spark):
     key = lambda rows: sorted((r.event_id, r.group_name, r.pos, r[-1]) for r in rows)
     want = key(rules.group_fragments(g, n).select("event_id", "group_name", "pos", "matched_text").collect())
     assert key(rules.indexed_matches(g, n).select("event_id", "group_name", "pos", "fragment").collect()) == want and len(want) > 200
+
+
+def test_state_of_a_whole_landing_needs_no_python_call_a_key(spark, tmp_path):
+    """Corrections, older and repeated versions; groups whose deliveries changed nothing don't come out again."""
+    land, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "store"))
+    people = seats(spark, ["g", "h"], 2)
+    first = [("g", 1, "g-0", "g-1", "1", "2", 2.0, 0.0, 5, 1), ("h", 1, "h-0", "h-1", "3", "3", 1.0, 1.0, 5, 1),
+             ("h", 2, "h-0", "h-1", "", "", 0.0, 0.0, 5, 1)]
+    again = [("g", 1, "g-0", "g-1", "2", "1", 0.0, 2.0, 5, 2), ("h", 1, "h-0", "h-1", "1", "2", 2.0, 0.0, 4, 9), first[2]]
+    for rows in (first, again):
+        games(spark, rows).coalesce(1).write.mode("append").parquet(land)
+        stream = spark.readStream.schema(games(spark, []).schema).parquet(land)
+        plan = standings_state.changed_players(stream)._jdf.queryExecution().analyzed().toString()
+        assert "TransformWithState" not in plan and "Python" not in plan
+        standings_state.start(stream, store, str(tmp_path / "checkpoint"), people).awaitTermination()
+    rows = {(r.group_id, r.participant_id): r for r in standings_state.latest_players(store.read("records", standings_state.RECORDS)).collect()}
+    g, h = rows["g", "g-1"], rows["h", "h-0"]
+    assert (g.win, g.lose, g.draw, g.score, g.opponents) == (1, 0, 0, 2.0, ["g-0"])
+    assert (h.win, h.lose, h.draw, h.score, h.opponents) == (0, 0, 1, 1.0, ["h-1"])
+    assert [tuple(b) for b in h.bouts] == [(1, True), (2, False)]
+    tables = store.read("standings", standings_state.STANDINGS).groupBy("group_id").agg(F.countDistinct("batch").alias("n")).collect()
+    assert {r.group_id: r.n for r in tables} == {"g": 2, "h": 1}
