@@ -111,3 +111,16 @@ def test_counts_are_non_negative_and_fit():
     x = packing.solve_counts(histogram, columns)
     assert (4, 12) in columns and (5, 5, 6) in columns and (x >= 0).all()
     assert abs(x[columns.index((5, 5, 6))] - 5) < 0.3
+
+
+def test_pieces_in_line_like_the_library():
+    """Pieces behind a blank are encoded as they stand in a text, without marks between them."""
+    tool = subwords.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    words = ["a", "Zug", "é", "1234", "can't", "'s", "'", "x,y", "日本", "🙂", "#@!", "don't.", "<|endoftext|", "ﬁ", "é", "x\x1cy", "A1-b2", "%%%", "�", "𝒳"]
+    line = [f" {a}{b}" for a in words for b in ["", *words]]
+    assert tool.in_line(line) == tool.whole(line)
+    apart = []
+    each, tool.each = tool.each, lambda p: apart.extend(p) or each(p)
+    texts = [" ".join(words[i:] + words[:i]) + "\n".join(words) for i in range(len(words))] + ["", " ", "a ", " a", "a\nb c\n"]
+    assert tool.ids(texts) == tool.whole(texts)
+    assert apart and not [p for p in apart if p[:1] == " " and len(p) > 1]
