@@ -124,3 +124,20 @@ def test_pieces_in_line_like_the_library():
     texts = [" ".join(words[i:] + words[:i]) + "\n".join(words) for i in range(len(words))] + ["", " ", "a ", " a", "a\nb c\n"]
     assert tool.ids(texts) == tool.whole(texts)
     assert apart and not [p for p in apart if p[:1] == " " and len(p) > 1]
+
+
+def test_words_in_line_like_the_library():
+    """Words that a tokenizer parts by white space are encoded with blanks between them, without marks, where no step before the
+    model can change their length."""
+    tool = subwords.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["a", "Zug", "\u00e9T\u00c9", "1234", "can't", "'s", "x,y", "#@!", "don't.", "A1-b2", "\u023ax", "\u0130l", "\u00aa", "</w>", "\u00bd", "\x1cx", "\x00"]
+    odd = ["e\u0301", "\u65e5\u672c", "\U0001f642", "\u03a3\u03a3", "\ufb01", "x\u00a0y", "\x85z"]
+    line = [a + b for a in words for b in ["", *words]]
+    raw = [w.encode() for w in line]
+    assert tool.words(raw, tool.tool) == tool.whole(line)
+    apart = []
+    each, tool.each = tool.each, lambda p: apart.extend(p) or each(p)
+    texts = [" ".join(line[i:i + 40]) for i in range(0, len(line), 20)] + ["", " ", " a\n"]
+    assert tool.ids(texts) == tool.whole(texts) and not apart
+    texts = [" ".join([*odd[i:], *words, *odd[:i]]) + o for i, o in enumerate(odd)] + ["a<|endoftext|> b"]
+    assert tool.ids(texts) == tool.whole(texts) and apart
