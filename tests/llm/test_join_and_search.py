@@ -4,6 +4,7 @@ import itertools
 import re
 
 import numpy as np
+import pytest
 from check import compare, connect
 
 from tengen.llm import decontam, near_join, neighbours, queries
@@ -163,3 +164,22 @@ def test_decontamination_hot_item(spark, make):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(make(docs * 2), bench).collect()}
     assert got == {(d, 0) for d in range(150)} | {(400 + d, 1) for d in range(3)}
+
+
+def test_near_join_without_long_methods(make, spark, monkeypatch):
+    """No step of the join is planned with whole-stage code; the session's own setting is as before, also behind a failure."""
+    plans, staged = [], near_join.stage
+
+    def stage(df, label):
+        plans.append(df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple"))
+        return staged(df, label)
+    monkeypatch.setattr(near_join, "stage", stage)
+    before = spark.conf.get(near_join.WHOLE_STAGE)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " x"), (3, text + " y"), (4, "a b c d e")]
+    assert join_of(make(rows)) == brute_components(rows)
+    assert len(plans) > 8 and not [p for p in plans if "*(" in p]
+    assert spark.conf.get(near_join.WHOLE_STAGE) == before
+    with pytest.raises(ZeroDivisionError), near_join.small_methods(spark):
+        assert 1 // 0
+    assert spark.conf.get(near_join.WHOLE_STAGE) == before
