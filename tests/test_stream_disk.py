@@ -84,3 +84,10 @@ def test_state_names_a_side_not_both_players(spark):
     assert (a.win, a.lose, a.draw, a.score, a.opponents) == (1, 1, 1, 3.0, ["a", "b"]) and [tuple(b) for b in a.bouts] == [
         (1, True), (1, True), (2, False), (2, True)]
     assert found.agg(F.count("*")).first()[0] == 3
+
+
+def test_replaced_games_parse_their_payloads_once(spark):
+    from tengen.plans.queries import REGISTRY
+
+    plan = REGISTRY["replace_matches"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan and "Exchange hash" not in plan
